@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,7 +32,28 @@ def build_session(cores: str = "*", shuffle_partitions: int = 8, driver_memory:
     )
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for a context: they import its
+    functions, whatever their own path is."""
+    context = spark.sparkContext
+    if getattr(context, "_paperloom_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="paperloom-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(folder, "paperloom-package.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for at, dirs, files in os.walk(root):
+            dirs[:] = [x for x in dirs if x != "__pycache__"]
+            for f in files:
+                if f.endswith(".py"):
+                    z.write(os.path.join(at, f), os.path.relpath(os.path.join(at, f), os.path.dirname(root)))
+    context.addPyFile(path)
+    context._paperloom_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
