@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
-from paperloom.llm import near_duplicates, normalize, set_join
+from paperloom.llm import near_duplicates, normalize, packing, set_join, splitting, tokens
 from paperloom.plans.data_quality import FOLD_ENTITY, STRIP
 from paperloom.session import table
 
 
+def p1_found(spark, d):
+    pieces = splitting.split_corpus(table(spark, d, "sections"), table(spark, d, "chunks"))
+    return pieces.select("src_table", "item_key").distinct()
+
+
+def p1_pieces(spark, d):
+    return splitting.split_corpus(table(spark, d, "sections"), table(spark, d, "chunks"))
+
+
 def p3_found(spark, d):
     return near_duplicates.near_duplicate_pairs(table(spark, d, "chunks"))
 
@@ -27,13 +36,28 @@ def p5_found(spark, d):
     return set_join.similar_tag_pairs(table(spark, d, "chunks"))
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_classes, p4_found, p4_entities, p5_found)}
+def p8_ids(spark, d):
+    return tokens.encode(table(spark, d, "documents"))
+
+
+def p9_containers(spark, d):
+    return packing.pack_documents(table(spark, d, "documents"))
+
+
+def p9_report(spark, d):
+    return packing.fill_report(p9_containers(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
 ONE_CHUNK = "one AS (SELECT chunk_key, any_value(text) AS text, any_value(entities) AS entities FROM chunks GROUP BY chunk_key)"
 
+_OVER = lambda t, k: f"SELECT DISTINCT '{t}' AS src_table, {k} AS item_key FROM {t} WHERE len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')) * 4 // 3 > 650"
+
 SQL: dict[str, str] = {
+    "p1_found": f"{_OVER('sections', 'section_id')} UNION ALL {_OVER('chunks', 'chunk_key')}",
     "p5_found": f"""WITH one AS (SELECT chunk_key, any_value(entities) AS entities, any_value(paper_title) AS title FROM chunks GROUP BY chunk_key),
 tags AS (SELECT DISTINCT chunk_key, lower(trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS title, lower({STRIP(FOLD_ENTITY)}) AS v
   FROM (SELECT chunk_key, title, unnest(entities) AS e FROM one WHERE title IS NOT NULL)),
