@@ -98,7 +98,8 @@ def shingles(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
         s = mix(s)
     inside = doc[: len(s)] == doc[k - 1 :]
     s, d = s[inside], doc[: len(s)][inside]
-    order = np.lexsort((s, d))
+    order = np.argsort(s)
+    order = order[np.argsort(d[order].astype(np.uint16 if len(texts) <= 65536 else np.int64), kind="stable")]
     s, d = s[order], d[order]
     first = np.ones(len(s), bool)
     first[1:] = (s[1:] != s[:-1]) | (d[1:] != d[:-1])

@@ -23,9 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.functions import consistent as C
 from paperloom.llm import _vec as V
-from paperloom.llm.normalize import consistent_text
+from paperloom.llm.normalize import consistent_texts
 from paperloom.session import materialize
 
 #: similarity 0.6 = 3/5: |a & b| >= 3/8 (|a| + |b|), and |a ^ b| <= 1/4 (|a| + |b|)
@@ -37,10 +36,12 @@ BLOCK_POSTINGS = 2_000_000
 #: A shingle bucket with more occurrences than this is spread over several tasks.
 HOT_BUCKET = 400_000
 PAIR_STEP = 1_000_000
+#: Up to so many keys, 8 bytes each, are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
 
 
-def _normal(texts: list[str | None], odd: list[bool]) -> list[str]:
-    return ["" if t is None else (consistent_text(t) if o else t).lower() for t, o in zip(texts, odd)]
+def _normal(texts: list[str | None]) -> list[str]:
+    return ["" if t is None else t.lower() for t in consistent_texts(texts)]
 
 
 def _signatures(doc: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
@@ -67,16 +68,17 @@ def _profile(df: DataFrame, buckets: int) -> DataFrame:
     def run(batches):
         counts = np.zeros(buckets, np.uint32)
         for batch in batches:
-            keys, texts, odd = (batch.column(i).to_pylist() for i in range(3))
-            doc, gram = V.shingles(_normal(texts, odd), SHINGLE)
+            keys, texts = (batch.column(i).to_pylist() for i in range(2))
+            doc, gram = V.shingles(_normal(texts), SHINGLE)
             if not len(doc):
                 continue
             counts += np.bincount(_bucket(gram, buckets), minlength=buckets).astype(np.uint32)
             sizes = np.bincount(doc, minlength=len(keys))
             have = np.flatnonzero(sizes)
             sigs = _signatures(doc, gram, len(keys))[have]
+            maps = _sketches(doc, gram, sizes)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(keys, np.int64)[have]), pa.array(sigs), pa.array(sizes[have].astype(np.int32)), pa.nulls(len(have), pa.int32()), pa.nulls(len(have), pa.binary())],
+                [pa.array(np.asarray(keys, np.int64)[have]), pa.array(sigs), pa.array(sizes[have].astype(np.int32)), pa.nulls(len(have), pa.int32()), pa.array([maps[i] for i in have], pa.binary())],
                 ["key", "sig", "n", "part", "counts"],
             )
         step = max(1, buckets >> 4)
@@ -116,6 +118,46 @@ def _bitmaps(doc_part: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
     return maps
 
 
+def _words(n):
+    """64-bit words of the parity bitmap of a whole set of n: about four bits a shingle,
+    a power of two, between 4 and 256 words."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(np.int64), 2, 8)
+
+
+def _sketches(doc: np.ndarray, gram: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Parity bitmaps of whole sets; a longer one folds to a shorter one's length."""
+    size = _words(sizes)
+    base = np.concatenate([[0], np.cumsum(size)])
+    maps = np.zeros(base[-1], np.uint64)
+    bit = V.mix(gram ^ np.uint64(0x5DEECE66D1234567)).astype(np.uint64)
+    word = ((bit >> np.uint64(6)) & (size[doc] - 1).astype(np.uint64)).astype(np.int64)
+    np.bitwise_xor.at(maps, base[doc] + word, np.uint64(1) << (bit & np.uint64(63)))
+    data = maps.tobytes()
+    return [data[8 * a : 8 * b] for a, b in zip(base[:-1], base[1:])]
+
+
+def _plausible(pairs: DataFrame) -> DataFrame:
+    """The pairs (a_sig, b_sig, a_n, b_n, a_map, b_map) whose whole bitmaps allow the
+    similarity: their distance is never more than the symmetric difference."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
+            maps_a, maps_b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
+            la, lb = (np.fromiter((len(m) // 8 for m in maps), np.int64, len(maps)) for maps in (maps_a, maps_b))
+            apart = np.zeros(len(na), np.int64)
+            for x, y in {*zip(la.tolist(), lb.tolist())}:
+                at = np.flatnonzero((la == x) & (lb == y))
+                a, b = (np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1) for maps in (maps_a, maps_b))
+                least = min(x, y)
+                a, b = (np.bitwise_xor.reduce(m.reshape(len(at), -1, least), axis=1) for m in (a, b))
+                apart[at] = np.bitwise_count(a ^ b).sum(1)
+            ok = (apart * (DENOMINATOR + NUMERATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR)) & (np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR)
+            yield batch.select(["a_sig", "b_sig"]).filter(pa.array(ok))
+
+    return pairs.mapInArrow(run, "a_sig long, b_sig long")
+
+
 def _prefix_postings(texts: list[str], order: np.ndarray, blocks: int) -> tuple | None:
     """The prefixes of the parts of one batch of texts, equal sets once."""
     doc, gram = V.shingles(texts, SHINGLE)
@@ -146,8 +188,7 @@ def _postings(df: DataFrame, order, blocks: int) -> DataFrame:
     def run(batches):
         table = order.value
         for batch in batches:
-            _, texts, odd = (batch.column(i).to_pylist() for i in range(3))
-            found = _prefix_postings(_normal(texts, odd), table, blocks)
+            found = _prefix_postings(_normal(batch.column(1).to_pylist()), table, blocks)
             if found is None:
                 continue
             part, gram, rank, block, n, maps, sigs = found
@@ -221,8 +262,8 @@ def _gram_sets(df: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            _, texts, odd = (batch.column(i).to_pylist() for i in range(3))
-            doc, gram = V.shingles(_normal(texts, odd), SHINGLE)
+            texts = batch.column(1).to_pylist()
+            doc, gram = V.shingles(_normal(texts), SHINGLE)
             if len(doc):
                 have = np.unique(doc)
                 offsets = np.concatenate([np.searchsorted(doc, have), [len(doc)]]).astype(np.int32)
@@ -239,22 +280,23 @@ def similar_sets(records: DataFrame, key: str = "chunk_key", text: str = "text")
     repeated row counts once. An empty table gives empty results.
     """
     spark = records.sparkSession
-    odd = F.coalesce(F.col(text).rlike(C.SUSPICIOUS), F.lit(False)).alias("odd")
-    rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"), odd)
+    rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     buckets = buckets_for(records.count())
     profile = materialize(_profile(rows, buckets), "p3-profile")
-    members = profile.where("key IS NOT NULL").select("key", "sig", "n").distinct()
+    members = profile.where("key IS NOT NULL").select("key", "sig").distinct()
     order = spark.sparkContext.broadcast(_order(profile, buckets))
     postings = profile.where("key IS NOT NULL").agg(F.coalesce(F.sum(F.col("n") * (DENOMINATOR - NUMERATOR) / DENOMINATOR + CLASSES), F.lit(0))).first()[0]
     blocks = CLASSES * max(1, math.ceil(float(postings) / BLOCK_POSTINGS / CLASSES))
     packed = _postings(rows, order, blocks)
-    candidates = packed.groupBy("block").applyInArrow(_block_product, "a_sig long, b_sig long").distinct()
-    candidates = materialize(candidates, "p3-candidates")
-    wanted = candidates.select(F.col("a_sig").alias("sig")).union(candidates.select("b_sig")).distinct()
-    one = members.groupBy("sig").agg(F.min("key").alias("key"))
-    keys = one.join(wanted, "sig", "left_semi").select("key")
-    sets = _gram_sets(rows.join(keys, "key", "left_semi").select("key", "text", "odd")).groupBy("sig").agg(F.first("grams").alias("grams"))
-    sets = materialize(sets, "p3-sets")
+    candidates = materialize(packed.groupBy("block").applyInArrow(_block_product, "a_sig long, b_sig long").distinct(), "p3-candidates")
+    sketch = profile.where("key IS NOT NULL").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("map"))
+    whole = lambda s: sketch.select(F.col("sig").alias(f"{s}_sig"), F.col("n").alias(f"{s}_n"), F.col("map").alias(f"{s}_map"))
+    sketched = candidates.join(whole("a"), "a_sig").join(whole("b"), "b_sig").select("a_sig", "b_sig", "a_n", "b_n", "a_map", "b_map")
+    candidates = materialize(_plausible(sketched), "p3-plausible")
+    wanted = materialize(sketch.select("sig", "key").join(candidates.select(F.col("a_sig").alias("sig")).union(candidates.select("b_sig")).distinct(), "sig", "left_semi").select("key"), "p3-wanted")
+    # the few texts to compare exactly: by broadcast of their keys up to a checked size
+    keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+    sets = _gram_sets(rows.join(keys, "key", "left_semi")).groupBy("sig").agg(F.first("grams").alias("grams"))
     side = lambda s: sets.select(F.col("sig").alias(f"{s}_sig"), F.col("grams").alias(f"{s}_grams"))
     pairs = (
         candidates.join(side("a"), "a_sig")

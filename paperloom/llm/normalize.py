@@ -11,11 +11,13 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import consistent as C
+from paperloom.llm import _vec as V
 
 _MARKS = "̀-ͯ᪰-᫿᷀-᷿⃐-⃿"
 
@@ -82,8 +84,14 @@ def transducer(in_word: bool) -> Transducer:
 @lru_cache(maxsize=1)
 def _pattern() -> re.Pattern:
     """A word with something to rewrite, or another character to rewrite."""
-    codes = {ord(c) for c in C.rules()} | {ord(c) for m in (C.CYRILLIC_LOOKALIKES, C.CYRILLIC_IN_LATIN_WORDS, C.GREEK_IN_LATIN_WORDS) for c in m}
-    listed = "".join(f"\\U{c:08x}" for c in sorted(codes))
+    codes = sorted({ord(c) for c in C.rules()} | {ord(c) for m in (C.CYRILLIC_LOOKALIKES, C.CYRILLIC_IN_LATIN_WORDS, C.GREEK_IN_LATIN_WORDS) for c in m})
+    listed, at = "", 0
+    while at < len(codes):  # ranges: a class of many single characters is slow
+        end = at
+        while end + 1 < len(codes) and codes[end + 1] == codes[end] + 1:
+            end += 1
+        listed += f"\\U{codes[at]:08x}-\\U{codes[end]:08x}"
+        at = end + 1
     odd = f"[{listed}{_MARKS}Ѐ-ԯ]"
     return re.compile(f"[^\\W_]*(?:{odd}+[^\\W_]*)+")
 
@@ -148,35 +156,57 @@ def _differs(s: str | None, form) -> bool:
     return t != s and bool(t.strip())
 
 
-def _odd(df: DataFrame) -> tuple:
-    text = F.coalesce(F.col("text").rlike(C.SUSPICIOUS), F.lit(False))
-    entities = F.coalesce(F.exists("entities", lambda e: e.rlike(C.SUSPICIOUS)), F.lit(False))
-    return text, entities
+@lru_cache(maxsize=1)
+def _odd_table() -> np.ndarray:
+    table = np.ones(0x110000, bool)
+    table[0] = False
+    for a, b in C.PLAIN_RANGES:
+        table[a : b + 1] = False
+    return table
+
+
+def odd_texts(texts: list[str]) -> np.ndarray:
+    """Which of the texts have a character outside the plain set, all at once."""
+    if not texts:
+        return np.empty(0, bool)
+    buf, offsets = V.codes(texts)
+    return np.diff(np.concatenate([[0], np.cumsum(_odd_table()[buf])])[offsets]) > 0
+
+
+def consistent_texts(texts: list[str | None]) -> list[str | None]:
+    """All texts in the consistent form; plain ones, nearly all, are only looked at."""
+    odd = odd_texts(["" if t is None else t for t in texts])
+    out = list(texts)
+    for i in np.flatnonzero(odd):
+        out[i] = consistent_text(texts[i])
+    return out
 
 
 def inconsistent_values(chunks: DataFrame) -> DataFrame:
     """(chunk_key, field, pos): each value that is not in the consistent form.
 
     field 'text' with pos -1, or 'entities' with the element's index from 0. Null and
-    blank values are none, invisible characters alone count as blank. Only rows with a
-    character outside the plain set leave the JVM. A repeated row counts once. An empty
+    blank values are none, invisible characters alone count as blank. Only values with a
+    character outside the plain set are rewritten. A repeated row counts once. An empty
     table gives no rows; columns beside chunk_key, text and entities don't matter.
     """
-    text, entities = _odd(chunks)
-    odd = chunks.select("chunk_key", F.when(text, F.col("text")).alias("text"), F.when(entities, F.col("entities")).alias("entities")).where("text IS NOT NULL OR entities IS NOT NULL")
+    rows = chunks.select("chunk_key", "text", "entities").where("chunk_key IS NOT NULL")
 
     def find(batches):
         for batch in batches:
-            keys, fields, places = [], [], []
-            for key, t, es in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if _differs(t, consistent_text):
-                    keys.append(key), fields.append("text"), places.append(-1)
-                for pos, e in enumerate(es or ()):
-                    if _differs(e, consistent_entity):
-                        keys.append(key), fields.append("entities"), places.append(pos)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(fields, pa.string()), pa.array(places, pa.int32())], ["chunk_key", "field", "pos"])
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            found = [(keys[i], "text", -1) for i in np.flatnonzero(odd_texts([t or "" for t in texts])) if _differs(texts[i], consistent_text)]
+            lists = batch.column(2)
+            offsets, owner = lists.offsets.to_numpy(), None
+            values = lists.values.slice(offsets[0], offsets[-1] - offsets[0]).to_pylist()
+            for at in np.flatnonzero(odd_texts([e or "" for e in values])):
+                if _differs(values[at], consistent_entity):
+                    owner = int(np.searchsorted(offsets, at + offsets[0], "right")) - 1
+                    found.append((keys[owner], "entities", int(at + offsets[0] - offsets[owner])))
+            columns = list(zip(*found)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int32()))], ["chunk_key", "field", "pos"])
 
-    return odd.mapInArrow(find, "chunk_key long, field string, pos int").distinct()
+    return rows.mapInArrow(find, "chunk_key long, field string, pos int").distinct()
 
 
 def consistent_chunks(chunks: DataFrame) -> DataFrame:
@@ -184,18 +214,17 @@ def consistent_chunks(chunks: DataFrame) -> DataFrame:
 
     Nulls stay null, empty and blank texts keep their length in ordinary blanks.
     """
-    text, entities = _odd(chunks)
 
     def rewrite(batches):
         for batch in batches:
             at = batch.schema.get_field_index("text")
-            rows = [None if t is None else consistent_text(t) for t in batch.column(at).to_pylist()]
+            rows = consistent_texts(batch.column(at).to_pylist())
             batch = batch.set_column(at, batch.schema.field(at), pa.array(rows, pa.string()))
             at = batch.schema.get_field_index("entities")
             rows = [None if r is None else [None if e is None else consistent_entity(e) for e in r] for r in batch.column(at).to_pylist()]
             yield batch.set_column(at, batch.schema.field(at), pa.array(rows, batch.schema.field(at).type))
 
-    return chunks.where(~(text | entities)).unionByName(chunks.where(text | entities).mapInArrow(rewrite, chunks.schema))
+    return chunks.mapInArrow(rewrite, chunks.schema)
 
 
 def catalogued_entities(chunks: DataFrame, catalog: DataFrame) -> DataFrame:
