@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import near_duplicates, normalize, packing, set_join, splitting, tokens
+from paperloom.llm import near_duplicates, normalize, packing, qa_defects, set_join, splitting, tokens
 from paperloom.plans.data_quality import FOLD_ENTITY, STRIP
 from paperloom.session import table
 
@@ -16,6 +16,10 @@ def p1_pieces(spark, d):
     return splitting.split_corpus(table(spark, d, "sections"), table(spark, d, "chunks"))
 
 
+def p2_found(spark, d):
+    return qa_defects.defects(table(spark, d, "eval_questions"))
+
+
 def p3_found(spark, d):
     return near_duplicates.near_duplicate_pairs(table(spark, d, "chunks"))
 
@@ -48,7 +52,7 @@ def p9_report(spark, d):
     return packing.fill_report(p9_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
