@@ -86,8 +86,30 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(buf, starts, ends), np.searchsorted(offsets, starts, "right") - 1
 
 
+#: Characters that are worked on at once: about 100 MB of arrays.
+CHARACTERS = 2_000_000
+
+
+def slices(texts: list[str], most: int = CHARACTERS) -> list[tuple[int, int]]:
+    """Ranges of texts of about ``most`` characters; one longer text is a range alone."""
+    out, begin, size = [], 0, 0
+    for i, t in enumerate(texts):
+        if size and size + len(t) > most:
+            out.append((begin, i))
+            begin, size = i, 0
+        size += len(t) + 1
+    return [*out, (begin, len(texts))] if texts else []
+
+
 def shingles(texts: list[str], k: int = 3) -> tuple[np.ndarray, np.ndarray]:
     """Distinct k-word shingle hashes: (text index, hash) sorted by both."""
+    parts = [(a, _shingles(texts[a:b], k)) for a, b in slices(texts)]
+    if not parts:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    return np.concatenate([d + a for a, (d, _) in parts]), np.concatenate([s for _, (_, s) in parts])
+
+
+def _shingles(texts: list[str], k: int) -> tuple[np.ndarray, np.ndarray]:
     h, doc = word_hashes(texts)
     if len(h) < k:
         return np.empty(0, np.int64), np.empty(0, np.uint64)

@@ -167,10 +167,11 @@ def _odd_table() -> np.ndarray:
 
 def odd_texts(texts: list[str]) -> np.ndarray:
     """Which of the texts have a character outside the plain set, all at once."""
-    if not texts:
-        return np.empty(0, bool)
-    buf, offsets = V.codes(texts)
-    return np.diff(np.concatenate([[0], np.cumsum(_odd_table()[buf])])[offsets]) > 0
+    out = [np.empty(0, bool)]
+    for a, b in V.slices(texts):
+        buf, offsets = V.codes(texts[a:b])
+        out.append(np.diff(np.concatenate([[0], np.cumsum(_odd_table()[buf], dtype=np.int32)])[offsets]) > 0)
+    return np.concatenate(out)
 
 
 def consistent_texts(texts: list[str | None]) -> list[str | None]:

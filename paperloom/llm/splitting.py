@@ -160,13 +160,14 @@ def split_oversized(items: DataFrame, key: str = "key", text: str = "text", limi
     def run(batches):
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            columns: list[list] = [[], [], [], [], [], [], []]
-            for k, t, pieces in zip(keys, texts, split_texts(texts, limit, overlap)):
-                for no, (start, new, end, n) in enumerate(pieces):
-                    for c, v in zip(columns, (k, no, n * 4 // 3, start, new, end, t[start:end])):
-                        c.append(v)
-            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["item_key", "piece", "n_tokens", "start", "new_from", "end", "text"])
+            for a, b in V.slices(texts):  # a batch of long texts is worked on in parts
+                columns: list[list] = [[], [], [], [], [], [], []]
+                for k, t, pieces in zip(keys[a:b], texts[a:b], split_texts(texts[a:b], limit, overlap)):
+                    for no, (start, new, end, n) in enumerate(pieces):
+                        for c, v in zip(columns, (k, no, n * 4 // 3, start, new, end, t[start:end])):
+                            c.append(v)
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["item_key", "piece", "n_tokens", "start", "new_from", "end", "text"])
 
     rows = oversized(items, key, text, limit).dropDuplicates(["key", "text"])
     return rows.mapInArrow(run, "item_key long, piece int, n_tokens int, start int, new_from int, end int, text string")
