@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from paperloom.llm import near_duplicates, normalize, packing, qa_defects, set_join, splitting, tokens
+from paperloom.llm import near_duplicates, normalize, packing, qa_defects, residue, set_join, splitting, tokens
 from paperloom.plans.data_quality import FOLD_ENTITY, STRIP
 from paperloom.session import table
 
@@ -52,7 +52,16 @@ def p9_report(spark, d):
     return packing.fill_report(p9_containers(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report)}
+def p10_found(spark, d):
+    return residue.residue(table(spark, d, "documents")).select("doc_id", "residue").distinct()
+
+
+def p10_clean(spark, d):
+    """The documents left when residue is excluded."""
+    return residue.clean_documents(table(spark, d, "documents")).select("doc_id", "source", "n_chars")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report, p10_found, p10_clean)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
