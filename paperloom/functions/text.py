@@ -15,7 +15,7 @@ DOWN_STEMS = "decrease downregulat inhibit suppress reduc prevent block".split()
 SECTION_WEIGHTS = [("results", 1.0), ("conclusion", 0.95), ("discussion", 0.85), ("abstract", 0.80), ("background", 0.55), ("introduction", 0.55), ("methods", 0.45), ("references", 0.10), ("preamble", 0.30), ("other", 0.50)]
 FIGURE_WORDS = "figure fig table shown panel quantitative measured graph plot chart illustrate depicted".split()
 ENTITY = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z0-9δαβγ\-]{2,})"
-CITATION_TAIL = r"(\[[0-9]+(?:\s*[,–-]\s*[0-9]+)*\]|\([A-Z][A-Za-z]+(?: et al\.| and [A-Z][A-Za-z]+),? [0-9]{4}\))\s*[.,:;]?$"
+CITATION_TAIL = r"(\[\s*[0-9]+(?:\s*[,–-]\s*[0-9]+)*\s*\]|\(\s*[A-Z][a-z]+(?:\s+et\s+al\.?|\s+and\s+[A-Z][a-z]+)?\s*,\s*[0-9]{4}\s*\))[.,:;]?\s*$"
 CHUNK_TYPES = [("method", "methods"), ("result", "results"), ("discuss", "conclusion"), ("conclus", "conclusion"), ("abstract", "background"), ("background", "background"), ("introduc", "background")]
 
 WORD_PATTERN = lambda ws: r"(?i)\b(" + "|".join(ws) + r")\b"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules of this package that define QUERIES and SQL.
-MODULES = ["data_quality", "text_scoring", "search"]
+MODULES = ["data_quality", "text_scoring", "search", "pipeline"]
 
 
 def _merged(name: str) -> dict:
