@@ -110,7 +110,8 @@ def lenient_json(raw: Column, schema: str) -> Column:
     """JSON with code fences or words around it; null fields where nothing parses."""
     clean = F.trim(F.regexp_replace(raw, r"```(?:json)?", ""))
     inner = F.regexp_extract(clean, r"(?s)(\{.*\})", 1)
-    return F.coalesce(F.from_json(clean, schema), F.from_json(F.when(inner != "", inner), schema))
+    valid = F.get_json_object(clean, "$").isNotNull()
+    return F.from_json(F.when(valid, clean).when(inner != "", inner), schema)
 
 
 def rich_text(theme: Column, summary: Column, entities: Column, section: Column) -> Column:

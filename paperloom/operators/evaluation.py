@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 K_VALUES = (1, 3, 5, 10)
@@ -15,23 +15,22 @@ def relevant(questions: DataFrame, column: str, into: str) -> DataFrame:
 
 def at_k(results: DataFrame, judged: DataFrame, queries: DataFrame, k_values=K_VALUES) -> DataFrame:
     """(query, k, recall, precision, ndcg_retrieved, ndcg): results (query, id, rank)
-    against judged (query, id). ndcg_retrieved takes its ideal order from what was
+    against judged (query, id). ndcg_retrieved takes its ideal order from the first k
     retrieved, ndcg from all relevant ids. Queries without results or relevant ids get 0."""
     n_rel = judged.groupBy("query").agg(F.count(F.lit(1)).alias("n_rel"))
     marked = results.join(judged.select("query", "id", F.lit(1).alias("rel")), ["query", "id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
-    marked = marked.withColumn("ideal", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("rel"), "rank")))
     ks = queries.select("query").crossJoin(F.broadcast(queries.sparkSession.createDataFrame([(k,) for k in k_values], "k int")))
-    gain = lambda place: F.sum(F.when(F.col(place) <= F.col("k"), F.col("rel") / F.log2(F.col(place) + 1)).otherwise(0.0))
-    per = ks.join(marked, "query", "left").groupBy("query", "k").agg(F.coalesce(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("rel"))), F.lit(0)).alias("hits"), gain("rank").alias("dcg"), gain("ideal").alias("idcg"))
+    gain = F.sum(F.when(F.col("rank") <= F.col("k"), F.col("rel") / F.log2(F.col("rank") + 1)).otherwise(0.0))
+    per = ks.join(marked, "query", "left").groupBy("query", "k").agg(F.coalesce(F.sum(F.when(F.col("rank") <= F.col("k"), F.col("rel"))), F.lit(0)).alias("hits"), gain.alias("dcg"))
     per = per.join(n_rel, "query", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0)))
-    best = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.least("n_rel", "k"))), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
+    first = lambda n: F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), n.cast("int"))), F.lit(0.0), lambda acc, i: acc + 1 / F.log2(i + 1))
     return per.select(
         "query",
         "k",
         F.round(F.col("hits") / F.greatest("n_rel", F.lit(1)), 6).alias("recall"),
         F.round(F.col("hits") / F.col("k"), 6).alias("precision"),
-        F.round(F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0), 6).alias("ndcg_retrieved"),
-        F.round(F.when(F.col("n_rel") > 0, F.col("dcg") / best).otherwise(0.0), 6).alias("ndcg"),
+        F.round(F.when(F.col("hits") > 0, F.col("dcg") / first(F.col("hits"))).otherwise(0.0), 6).alias("ndcg_retrieved"),
+        F.round(F.when(F.col("n_rel") > 0, F.col("dcg") / first(F.least("n_rel", "k"))).otherwise(0.0), 6).alias("ndcg"),
     )
 
 

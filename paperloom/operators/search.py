@@ -136,6 +136,7 @@ FIT_ROWS = 20_000
 
 def fit_centroids(vectors: DataFrame, lists: int, seed: int = 42, rounds: int = 12) -> np.ndarray:
     """k-means centroids of a bounded sample, chosen by a hash of the keys."""
+    vectors = vectors.where("key IS NOT NULL AND vector IS NOT NULL")
     share = min(1.0, FIT_ROWS / max(1, vectors.count()))
     rows = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("key").limit(FIT_ROWS).collect()
     x = np.array([r["vector"] for r in rows], np.float64)

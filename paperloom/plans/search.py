@@ -305,6 +305,7 @@ _TOP = lambda name: f"SELECT question_id, chunk_key, CAST(rank AS INTEGER) AS ra
 _UPPER = lambda c: "upper(" + "replace(" * 5 + c + "".join(f", '{a}', '{b}')" for a, b in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ß", "ss"))) + ")"
 _INC = f"inc AS (SELECT DISTINCT chunk_key, paper, {_UPPER('e')} AS entity FROM (SELECT chunk_key, coalesce(paper_title, '') AS paper, unnest(entities) AS e FROM one) WHERE length(e) > 2)"
 _EDGES = f"edges AS (SELECT a.chunk_key AS src, b.chunk_key AS dst, round(sum(CASE WHEN a.paper <> b.paper THEN {G.CROSS_ENTITY} ELSE {G.WITHIN_ENTITY} END), 6) AS weight, count(*) AS n_shared, any_value(a.paper <> b.paper) AS cross_paper FROM inc a JOIN inc b ON a.entity = b.entity AND a.chunk_key <> b.chunk_key WHERE a.chunk_key % 100 = 0 GROUP BY 1, 2)"
+_IDEAL = lambda n: f"list_sum(list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda i: 1 / log2(i + 1)))"
 _JUDGED = "judged AS (SELECT DISTINCT question_id, trim(i) AS id FROM (SELECT question_id, unnest(ids) AS i FROM q) WHERE trim(i) <> '')"
 _MARKED = "marked AS (SELECT b.question_id, rank, CASE WHEN j.id IS NULL THEN 0 ELSE 1 END AS rel FROM bm25 b JOIN one USING (chunk_key) LEFT JOIN judged j ON j.question_id = b.question_id AND j.id = one.chunk_id)"
 
@@ -332,9 +333,9 @@ SELECT a.chunk_key AS src, b.chunk_key AS dst, CAST(CASE WHEN a.paper <> b.paper
     "consensus_pairs": f"WITH {ONE}, {_INC}, {_EDGES}, dir AS (SELECT chunk_key, {DIRECTION} AS direction FROM one) SELECT src, dst, CASE WHEN a.direction = b.direction THEN 'consensus' ELSE 'contradiction' END AS relation FROM edges JOIN dir a ON a.chunk_key = src JOIN dir b ON b.chunk_key = dst WHERE cross_paper AND a.direction <> 'neutral' AND b.direction <> 'neutral'",
     "entity_statistics": f"WITH {ONE}, {_INC} SELECT entity, count(*) AS n_chunks, count(DISTINCT paper) AS n_papers FROM inc GROUP BY entity HAVING count(*) > 1",
     "eval_at_k": f"""WITH {ONE}, {_Q}, {_BM25}, {_JUDGED}, {_MARKED},
-m AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY rel DESC, rank) AS ideal FROM marked), ks AS (SELECT unnest([1, 3, 5, 10]) AS k), nr AS (SELECT question_id, count(*) AS n_rel FROM judged GROUP BY 1),
-p AS (SELECT q.question_id, k, coalesce(sum(CASE WHEN rank <= k THEN rel END), 0) AS hits, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, sum(CASE WHEN ideal <= k THEN rel / log2(ideal + 1) ELSE 0 END) AS idcg, coalesce(any_value(n_rel), 0) AS n_rel FROM q CROSS JOIN ks LEFT JOIN m USING (question_id) LEFT JOIN nr USING (question_id) GROUP BY 1, 2)
-SELECT question_id, CAST(k AS INTEGER) AS k, round(hits / greatest(n_rel, 1), 6) AS recall, round(hits / k, 6) AS precision, round(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END, 6) AS ndcg_retrieved, round(CASE WHEN n_rel > 0 THEN dcg / list_sum(list_transform(range(1, least(n_rel, k) + 1), lambda i: 1 / log2(i + 1))) ELSE 0 END, 6) AS ndcg FROM p""",
+ks AS (SELECT unnest([1, 3, 5, 10]) AS k), nr AS (SELECT question_id, count(*) AS n_rel FROM judged GROUP BY 1),
+p AS (SELECT q.question_id, k, coalesce(sum(CASE WHEN rank <= k THEN rel END), 0) AS hits, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) AS dcg, coalesce(any_value(n_rel), 0) AS n_rel FROM q CROSS JOIN ks LEFT JOIN marked USING (question_id) LEFT JOIN nr USING (question_id) GROUP BY 1, 2)
+SELECT question_id, CAST(k AS INTEGER) AS k, round(hits / greatest(n_rel, 1), 6) AS recall, round(hits / k, 6) AS precision, round(CASE WHEN hits > 0 THEN dcg / {_IDEAL('hits')} ELSE 0 END, 6) AS ndcg_retrieved, round(CASE WHEN n_rel > 0 THEN dcg / {_IDEAL('least(n_rel, k)')} ELSE 0 END, 6) AS ndcg FROM p""",
     "eval_mrr": f"WITH {ONE}, {_Q}, {_BM25}, {_JUDGED}, {_MARKED}, h AS (SELECT question_id, min(rank) AS first FROM marked WHERE rel = 1 GROUP BY 1) SELECT question_id, CAST(coalesce(first, -1) AS INTEGER) AS first_hit_rank, round(coalesce(1 / first, 0), 6) AS reciprocal_rank FROM q LEFT JOIN h USING (question_id)",
     "eval_cross_paper": f"""WITH {ONE}, {_Q}, {_BM25}, jp AS (SELECT DISTINCT question_id, trim(p) AS paper FROM (SELECT question_id, unnest(papers) AS p FROM q) WHERE trim(p) <> ''),
 got AS (SELECT DISTINCT question_id, paper_title AS paper FROM bm25 JOIN one USING (chunk_key) WHERE rank <= 10),
