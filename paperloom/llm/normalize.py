@@ -63,6 +63,11 @@ class Transducer:
         """s rewritten; what no rule covers stays as it is."""
         if any(self.table.get(c) == "" for c in s):  # invisible characters don't part a cluster
             s = "".join(c for c in s if self.table.get(c) != "")
+        while (t := self._pass(s)) != s and any(unicodedata.combining(c) for c in t):
+            s = t  # a mark behind what a rule wrote: one cluster with its last letter
+        return t
+
+    def _pass(self, s: str) -> str:
         out, i, n, table = [], 0, len(s), self.table
         while i < n:
             for size in range(min(self.longest, n - i), 0, -1):
