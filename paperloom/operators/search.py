@@ -83,8 +83,11 @@ QUERY_BLOCK = 4096
 
 
 def _best(keys: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
-    order = np.lexsort((keys, -scores))
-    return order[:k]
+    """Places of the k best scores, ties by the smaller key."""
+    near = np.arange(len(keys))
+    if len(keys) > k:
+        near = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1])
+    return near[np.lexsort((keys[near], -scores[near]))[:k]]
 
 
 def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -114,11 +117,12 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     continue
                 x = np.stack([np.asarray(v, np.float64) for v in column.to_pylist()])
                 x /= np.maximum(1e-30, np.linalg.norm(x, axis=1, keepdims=True))
-                s = np.round(matrix @ x.T, 9)
                 out = [], [], []
-                for i, q in enumerate(ids):
-                    best = _best(keys, s[i], k)
-                    out[0].extend([q] * len(best)), out[1].extend(keys[best]), out[2].extend(s[i][best])
+                for a in range(0, len(ids), 128):  # the product stays small
+                    s = np.round(matrix[a : a + 128] @ x.T, 9)
+                    for q, row in zip(ids[a : a + 128], s):
+                        best = _best(keys, row, k)
+                        out[0].extend([q] * len(best)), out[1].extend(keys[best]), out[2].extend(row[best])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query", "key", "score"])
 
         parts.append(vectors.select(F.col("key").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query long, key long, score double"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import evaluation as E
 from paperloom.operators import graph as G
+from paperloom.operators import lsa
 from paperloom.operators import retrieval as R
 from paperloom.operators import search as S
 from paperloom.plans.text_scoring import DIRECTION, ONE, TOKENS, one_chunk
@@ -49,6 +50,21 @@ def hyde_topk(spark, d):
     return _named(S.tfidf(_hyde(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
+def lsa_topk(spark, d):
+    """Nearest chunks by latent semantic vectors, fitted on all chunks."""
+    texts = _texts(one_chunk(spark, d, "text")).where("trim(text) <> ''")
+    model = lsa.fit(texts)
+    asked = lsa.embed(questions(spark, d).select(F.col("query").alias("key"), "text"), model).withColumnRenamed("key", "query")
+    return _named(S.knn(lsa.embed(texts, model), asked, 40)).select("question_id", "chunk_key", "rank", F.round("score", 4).alias("score"))
+
+
+def ablation_gains(spark, d):
+    """Each configuration's difference to keywords alone."""
+    rows = materialize(ablation_grid(spark, d), "ablation")
+    base = rows.where("config = 'bm25_only'").select("k", F.col("recall").alias("r0"), F.col("ndcg").alias("n0"))
+    return rows.join(base, "k").select("config", "k", F.round(F.col("recall") - F.col("r0"), 6).alias("recall_gain"), F.round(F.col("ndcg") - F.col("n0"), 6).alias("ndcg_gain"))
+
+
 def channels(spark, d):
     c, q = one_chunk(spark, d), questions(spark, d)
     found = {"dense": S.tfidf(_texts(c), q), "hyde": S.tfidf(_hyde(c), q), "bm25": S.bm25(_rich(c), q)}
@@ -258,7 +274,7 @@ def ablation_grid(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, tfidf_topk, hyde_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, knn_cosine, ann_recall, knn_per_label, entity_edges, theme_edges, consensus_pairs, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid)
+    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, knn_cosine, ann_recall, knn_per_label, entity_edges, theme_edges, consensus_pairs, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
 }
 
 # ---- the same rows in SQL ----
@@ -308,12 +324,20 @@ _EDGES = f"edges AS (SELECT a.chunk_key AS src, b.chunk_key AS dst, round(sum(CA
 _IDEAL = lambda n: f"list_sum(list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda i: 1 / log2(i + 1)))"
 _JUDGED = "judged AS (SELECT DISTINCT question_id, trim(i) AS id FROM (SELECT question_id, unnest(ids) AS i FROM q) WHERE trim(i) <> '')"
 _MARKED = "marked AS (SELECT b.question_id, rank, CASE WHEN j.id IS NULL THEN 0 ELSE 1 END AS rel FROM bm25 b JOIN one USING (chunk_key) LEFT JOIN judged j ON j.question_id = b.question_id AND j.id = one.chunk_id)"
+_SET = lambda c: f"list_distinct(list_filter(regexp_split_to_array(lower({c}), '\\s+'), lambda y: y <> ''))"
 
 SQL = {
     "bm25_topk": f"WITH {ONE}, {_Q}, {_BM25} {_TOP('bm25')}",
     "tfidf_topk": f"WITH {ONE}, {_Q}, {_DENSE} {_TOP('dense')}",
     "hyde_topk": f"WITH {ONE}, {_Q}, {_HYDE} {_TOP('hyde')}",
     "rrf_fusion": f"WITH {ONE}, {_Q}, {_BM25}, {_DENSE}, {_HYDE}, {_FUSED} SELECT question_id, chunk_key, round(score, 9) AS score, round(score / max(score) OVER (PARTITION BY question_id), 6) AS norm_score, sources FROM fused",
+    "rescored": f"""WITH {ONE}, {_Q}, {_BM25}, {_DENSE}, {_HYDE}, {_FUSED},
+r AS (SELECT question_id, chunk_key, score / max(score) OVER (PARTITION BY question_id) AS norm, {_SET('q.text')} AS asked, {_SET("coalesce(theme, '')")} AS themes,
+  list_distinct(flatten(list_transform(list_filter(coalesce(entities, []), lambda x: x IS NOT NULL), lambda x: {_SET('x')}))) AS names,
+  regexp_matches(lower(q.text), '{'|'.join(T.FIGURE_WORDS)}') AND coalesce(is_figure_chunk, false) AS fig, len(coalesce(consensus_papers, [])) AS agree, len(coalesce(conflict_chunk_ids, [])) AS conflict, coalesce(confidence, 0.5) AS c
+  FROM fused JOIN q USING (question_id) JOIN one USING (chunk_key))
+SELECT question_id, chunk_key, round(round(norm * (1 + {R.THEME_BOOST - 1} * least(1.0, 3.0 * len(list_intersect(asked, themes)) / greatest(len(asked), 1))) * (1 + {R.ENTITY_BOOST} * len(list_intersect(asked, names)))
+  * (CASE WHEN fig THEN {R.FIGURE_BOOST} ELSE 1 END) * (1 + {R.CONSENSUS_BOOST} * least(4, agree)) * (CASE WHEN conflict > 0 THEN {R.CONFLICT} ELSE 1 END) * (1 + {R.CONFIDENCE_BOOST} * c), 9), 6) AS final FROM r""",
     "dynamic_cutoff": f"""WITH {ONE}, {_Q}, {_BM25},
 r AS (SELECT question_id, rank, score AS s, max(score) OVER w AS top, count(*) OVER w AS n, lag(score) OVER (PARTITION BY question_id ORDER BY rank) AS before FROM bm25 WINDOW w AS (PARTITION BY question_id)),
 a AS (SELECT *, least(n, greatest(3, count_if(s >= {R.THRESHOLD} * top) OVER (PARTITION BY question_id))) AS above FROM r),

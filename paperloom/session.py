@@ -79,11 +79,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _remove(spark: SparkSession, path: str) -> None:
+    """Tables of a session go with it."""
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended before; a shared folder is cleaned as a whole
+        pass
 
 
 def tokenizer_path(name: str) -> str:

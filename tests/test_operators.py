@@ -260,3 +260,15 @@ def test_settings(tmp_path, monkeypatch):
     monkeypatch.setenv("OUTPUT_DIR", "/x")
     s = config.load(str(tmp_path / "c.json"))
     assert (s.retrieval.max_k, s.retrieval.min_k, s.output_dir, config.load(None).retrieval.max_k) == (7, 3, "/x", 15)
+
+
+def test_lsa_finds_related_texts(spark):
+    from paperloom.operators import lsa
+
+    data = [(i, f"cells divide in the liver tissue number {i}") for i in range(20)] + [(100 + i, f"stars orbit a distant galaxy number {i}") for i in range(20)] + [(999, None), (998, " ")]
+    df = spark.createDataFrame(data, "key long, text string")
+    model = lsa.fit(df, 4)
+    asked = lsa.embed(spark.createDataFrame([(1, "the liver cells")], "key long, text string"), model).withColumnRenamed("key", "query")
+    got = search.knn(lsa.embed(df, model), asked, 20)
+    assert {r["key"] for r in got.collect()} == set(range(20))
+    assert lsa.fit(df.limit(0), 4).vectors(["x"]).shape == (1, 1)
