@@ -69,7 +69,15 @@ ONE_CHUNK = "one AS (SELECT chunk_key, any_value(text) AS text, any_value(entiti
 
 _OVER = lambda t, k: f"SELECT DISTINCT '{t}' AS src_table, {k} AS item_key FROM {t} WHERE len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')) * 4 // 3 > 650"
 
+_FOLD_TEXT = FOLD_ENTITY.replace("translate(e,", "translate(text,")
+
 SQL: dict[str, str] = {
+    # whole Cyrillic words become Latin here, the same everywhere, so no similarity changes
+    "p3_found": f"""WITH w AS (SELECT chunk_key, regexp_extract_all(lower({_FOLD_TEXT}), '[\\pL\\pN]+') AS w FROM (SELECT chunk_key, any_value(text) AS text FROM chunks WHERE text IS NOT NULL GROUP BY chunk_key)),
+g AS (SELECT DISTINCT chunk_key, hash(w[i], w[i + 1], w[i + 2]) AS g FROM (SELECT chunk_key, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
+n AS (SELECT chunk_key, count(*) AS n FROM g GROUP BY 1)
+SELECT a_key, b_key FROM (SELECT a.chunk_key AS a_key, b.chunk_key AS b_key, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.chunk_key < b.chunk_key GROUP BY 1, 2)
+JOIN n x ON x.chunk_key = a_key JOIN n y ON y.chunk_key = b_key WHERE 10 * common >= 6 * (x.n + y.n - common)""",
     "p1_found": f"{_OVER('sections', 'section_id')} UNION ALL {_OVER('chunks', 'chunk_key')}",
     "p5_found": f"""WITH one AS (SELECT chunk_key, any_value(entities) AS entities, any_value(paper_title) AS title FROM chunks GROUP BY chunk_key),
 tags AS (SELECT DISTINCT chunk_key, lower(trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS title, lower({STRIP(FOLD_ENTITY)}) AS v
