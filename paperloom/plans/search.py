@@ -3,13 +3,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import evaluation as E
 from paperloom.operators import graph as G
 from paperloom.operators import lsa
+from paperloom.operators import pipeline as L
 from paperloom.operators import retrieval as R
 from paperloom.operators import search as S
 from paperloom.plans.text_scoring import DIRECTION, ONE, TOKENS, one_chunk
@@ -22,37 +22,25 @@ def questions(spark, d):
     return q.withColumnsRenamed({"question_id": "query", "question": "text"})
 
 
-def _rich(c):
-    return c.select(F.col("chunk_key").alias("key"), T.rich_text(F.col("theme"), F.col("summary"), F.col("entities"), F.col("section")).alias("text"))
-
-
-def _texts(c):
-    return c.select(F.col("chunk_key").alias("key"), "text")
-
-
-def _hyde(c):
-    return c.select(F.col("chunk_key").alias("key"), F.coalesce(F.nullif(F.trim("hyde_question"), F.lit("")), F.col("text")).alias("text"))
-
-
 def _named(df, column="question_id"):
     return df.withColumnsRenamed({"query": column, "key": "chunk_key"})
 
 
 def bm25_topk(spark, d):
-    return _named(S.bm25(_rich(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _named(S.bm25(L.rich_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
 def tfidf_topk(spark, d):
-    return _named(S.tfidf(_texts(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _named(S.tfidf(L.text_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
 def hyde_topk(spark, d):
-    return _named(S.tfidf(_hyde(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _named(S.tfidf(L.question_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
 
 
 def lsa_topk(spark, d):
     """Nearest chunks by latent semantic vectors, fitted on all chunks."""
-    texts = _texts(one_chunk(spark, d, "text")).where("trim(text) <> ''")
+    texts = L.text_documents(one_chunk(spark, d, "text")).where("trim(text) <> ''")
     model = lsa.fit(texts)
     asked = lsa.embed(questions(spark, d).select(F.col("query").alias("key"), "text"), model).withColumnRenamed("key", "query")
     return _named(S.knn(lsa.embed(texts, model), asked, 40)).select("question_id", "chunk_key", "rank", F.round("score", 4).alias("score"))
@@ -65,102 +53,38 @@ def ablation_gains(spark, d):
     return rows.join(base, "k").select("config", "k", F.round(F.col("recall") - F.col("r0"), 6).alias("recall_gain"), F.round(F.col("ndcg") - F.col("n0"), 6).alias("ndcg_gain"))
 
 
-def channels(spark, d):
-    c, q = one_chunk(spark, d), questions(spark, d)
-    found = {"dense": S.tfidf(_texts(c), q), "hyde": S.tfidf(_hyde(c), q), "bm25": S.bm25(_rich(c), q)}
-    rows = None
-    for name, df in found.items():
-        part = df.select(F.lit(name).alias("channel"), "query", "key", "rank")
-        rows = part if rows is None else rows.unionByName(part)
-    rows = materialize(rows, "channels")  # computed once, read by every step after it
-    return {name: rows.where(F.col("channel") == name) for name in found}
-
-
 def rrf_fusion(spark, d):
-    return _named(R.fuse(channels(spark, d))).select("question_id", "chunk_key", F.round("score", 9).alias("score"), F.round("norm_score", 6).alias("norm_score"), "sources")
-
-
-def candidates(spark, d, found=None, weights=R.WEIGHTS, graph=True):
-    """(query, key, norm_score, final, sources): fused, expanded by the graph, rescored."""
-    found = found or channels(spark, d)
-    c, q = one_chunk(spark, d), questions(spark, d)
-    fused = R.fuse(found, weights)
-    if graph:
-        fused = materialize(fused, "fused")
-        seeds = S.top_k(fused, R.MAX_K, F.desc("norm_score"), "key")
-        reached = G.walk(G.incidence(c), seeds).join(fused, ["query", "key"], "left_anti")
-        fused = fused.select("query", "key", "norm_score", "sources").unionByName(reached.select("query", "key", F.lit(R.GRAPH_SCORE).alias("norm_score"), F.lit("graph").alias("sources")))
-    return R.rescore(fused, q, c)
+    return _named(R.fuse(L.channels(one_chunk(spark, d), questions(spark, d)))).select("question_id", "chunk_key", F.round("score", 9).alias("score"), F.round("norm_score", 6).alias("norm_score"), "sources")
 
 
 def rescored(spark, d):
     """Fused candidates with their metadata boosts."""
-    rows = candidates(spark, d, graph=False)
+    rows = L.candidates(one_chunk(spark, d), questions(spark, d), graph=False)
     return _named(rows).select("question_id", "chunk_key", F.round("final", 6).alias("final"))
 
 
-def similar_candidates(rows, c):
-    """Each query's candidate pairs of TF-IDF cosine above the limit, both directions;
-    the vectors are fitted on that query's candidates alone."""
-    texts = rows.select("query", "key").join(c.select(F.col("chunk_key").alias("key"), "text"), "key")
-    terms = texts.select("query", "key", F.explode(S.word_terms(F.col("text"))).alias("term")).groupBy("query", "key", "term").agg(F.count(F.lit(1)).alias("tf"))
-    n = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
-    df = terms.groupBy("query", "term").agg(F.count(F.lit(1)).alias("df")).join(n, "query").select("query", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    w = terms.join(df, ["query", "term"]).select("query", "key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norm = w.groupBy("query", "key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    w = materialize(w.join(norm, ["query", "key"]).select("query", "key", "term", (F.col("w") / F.col("norm")).alias("w")), "candidate-terms")
-    a, b = w.withColumnsRenamed({"key": "a", "w": "wa"}), w.withColumnsRenamed({"key": "b", "w": "wb"})
-    return a.join(b, ["query", "term"]).where("a <> b").groupBy("query", "a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("cosine")).where(F.round("cosine", 9) > R.DEDUP).select("query", "a", "b")
-
-
-def _ranked(rows):
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("final"), F.desc("key"))))
-
-
-def _retrieved(spark, d, found=None, weights=R.WEIGHTS, graph=True, reranked=True):
-    """(query, key, rank, norm_score, sources): the whole pipeline's results."""
-    c, q = one_chunk(spark, d), questions(spark, d)
-    ranked = materialize(_ranked(candidates(spark, d, found, weights, graph)), "ranked")
-    kept = R.greedy_dedup(ranked.select("query", "key", "rank"), similar_candidates(ranked, c))
-    kept = materialize(kept.join(ranked.select("query", "key", "final", "sources"), ["query", "key"]), "kept")
-    n = R.dynamic_cutoff(kept)
-    top = F.max("final").over(Window.partitionBy("query"))
-    results = kept.withColumn("norm_score", F.when(top > 0, F.col("final") / top).otherwise(0.0)).join(n, "query").where("rank <= n_keep").select("query", "key", "rank", "norm_score", "sources")
-    return R.rerank(results, R.lexical_pair_scores(results, q, c)) if reranked else results
-
-
 def retrieve_hybrid(spark, d):
     """The flagship: three searches, fusion, graph walk, rescoring, near-duplicate removal,
     cutoff and reranking for all questions of the query set in one plan."""
-    return _named(_retrieved(spark, d)).select("question_id", "rank", "chunk_key", F.round("norm_score", 6).alias("score"), "sources")
+    return _named(L.retrieved(one_chunk(spark, d), questions(spark, d))).select("question_id", "rank", "chunk_key", F.round("norm_score", 6).alias("score"), "sources")
 
 
 def dedup_greedy(spark, d):
-    ranked = materialize(_ranked(candidates(spark, d, graph=False)), "ranked")
-    kept = R.greedy_dedup(ranked.select("query", "key", "rank"), similar_candidates(ranked, one_chunk(spark, d)))
+    c = one_chunk(spark, d)
+    ranked = materialize(L.ranked_candidates(L.candidates(c, questions(spark, d), graph=False)), "ranked")
+    kept = R.greedy_dedup(ranked.select("query", "key", "rank"), L.similar_candidates(ranked, c))
     return _named(kept).select("question_id", "chunk_key", "rank")
 
 
 def dynamic_cutoff(spark, d):
-    ranked = S.bm25(_rich(one_chunk(spark, d)), questions(spark, d), 40)
+    ranked = S.bm25(L.rich_documents(one_chunk(spark, d)), questions(spark, d), 40)
     return _named(R.dynamic_cutoff(ranked, "score")).select("question_id", "n_keep")
 
 
 def compress_context(spark, d):
-    """Sentences of the retrieved chunks that fit 400 tokens, best first, in their order;
-    a context within the budget stays whole."""
+    """Sentences of the retrieved chunks that fit 400 tokens."""
     c, q = one_chunk(spark, d), questions(spark, d)
-    results = materialize(_retrieved(spark, d, graph=False), "results")
-    texts = results.join(c.select(F.col("chunk_key").alias("key"), "text"), "key").join(q.select("query", F.col("text").alias("question")), "query")
-    each = texts.select("query", "rank", "question", F.posexplode(T.split_sentences(F.col("text"))).alias("no", "sentence"))
-    each = each.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("rank", "no"))).withColumn("n_tokens", T.token_estimate(F.col("sentence")))
-    asked = T.query_tokens(F.col("question"))
-    each = materialize(each.withColumn("score", F.round(F.size(F.array_intersect(asked, T.query_tokens(F.col("sentence")))) / F.greatest(F.size(asked), F.lit(1)), 9)), "sentences")
-    total = each.groupBy("query").agg(F.sum("n_tokens").alias("total"))
-    rows = each.join(total, "query")
-    filled = R.budget_fill(rows.where("total > 400").select("query", "pos", "score", "n_tokens"))
-    kept = rows.where("total <= 400").select("query", "pos").unionByName(filled)
-    return kept.join(each, ["query", "pos"]).select(F.col("query").alias("question_id"), "pos", "n_tokens", "sentence")
+    return L.compress(L.retrieved(c, q, graph=False), c, q).withColumnRenamed("query", "question_id")
 
 
 def knn_cosine(spark, d):
@@ -220,7 +144,7 @@ def entity_statistics(spark, d):
 def _results(spark, d):
     """BM25 results with their chunk ids and papers, as evaluation input."""
     c = one_chunk(spark, d)
-    found = S.bm25(_rich(c), questions(spark, d), 40)
+    found = S.bm25(L.rich_documents(c), questions(spark, d), 40)
     return found.join(c.select(F.col("chunk_key").alias("key"), "chunk_id", "paper_title"), "key")
 
 
@@ -261,12 +185,13 @@ ABLATION = [
 
 def ablation_grid(spark, d):
     """Mean metrics at 5 of each configuration; the searches run once for all of them."""
-    q, found = questions(spark, d), channels(spark, d)
+    c, q = one_chunk(spark, d), questions(spark, d)
+    found = L.channels(c, q)
     ids = one_chunk(spark, d, "chunk_id").select(F.col("chunk_key").alias("key"), "chunk_id")
     judged = E.relevant(q, "relevant_chunk_ids", "id")
     rows = None
     for name, weights, graph, reranked in ABLATION:
-        results = _retrieved(spark, d, found, weights, graph, reranked).join(ids, "key").select("query", F.col("chunk_id").alias("id"), "rank")
+        results = L.retrieved(c, q, found, weights, graph, reranked).join(ids, "key").select("query", F.col("chunk_id").alias("id"), "rank")
         part = E.at_k(results, judged, q, (1, 5)).groupBy("k").agg(F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("ndcg"), 6).alias("ndcg")).withColumn("config", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     return rows.select("config", "k", "recall", "ndcg")
