@@ -87,6 +87,15 @@ def compress_context(spark, d):
     return L.compress(L.retrieved(c, q, graph=False), c, q).withColumnRenamed("query", "question_id")
 
 
+def redundancy(spark, d):
+    """How alike chunks are: the cosine of the nearest other chunk, of the chunks whose key
+    is divisible by 100 against all; its mean and the number above 0.92."""
+    c = one_chunk(spark, d, "text")
+    asked = c.where("chunk_key % 100 = 0").select(F.col("chunk_key").alias("query"), "text")
+    near = S.tfidf(L.text_documents(c), asked, 2).where("key <> query").groupBy("query").agg(F.max("score").alias("s"))
+    return near.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("mean_redundancy"), F.count_if(F.col("s") > 0.92).alias("n_above"))
+
+
 def knn_cosine(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vector"))
     q = e.where("key % 100 = 0").withColumnRenamed("key", "query")
@@ -199,7 +208,7 @@ def ablation_grid(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, knn_cosine, ann_recall, knn_per_label, entity_edges, theme_edges, consensus_pairs, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
+    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, redundancy, knn_cosine, ann_recall, knn_per_label, entity_edges, theme_edges, consensus_pairs, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
 }
 
 # ---- the same rows in SQL ----
@@ -269,6 +278,7 @@ a AS (SELECT *, least(n, greatest(3, count_if(s >= {R.THRESHOLD} * top) OVER (PA
 p AS (SELECT question_id, max(top) AS top, max(above) AS above, max(CASE WHEN before > 0 AND rank <= above THEN round((before - s) / before, 9) END) AS dip FROM a GROUP BY 1),
 f AS (SELECT p.question_id, min(a.rank) AS at FROM p JOIN a ON a.question_id = p.question_id AND before > 0 AND rank <= a.above AND round((before - s) / before, 9) = dip GROUP BY 1)
 SELECT p.question_id, CAST(least({R.MAX_K}, greatest({R.MIN_K}, CASE WHEN coalesce(top, 0) = 0 THEN {R.MIN_K} WHEN above <= 1 THEN {R.MIN_K} WHEN dip >= {R.MIN_DIP} THEN f.at - 1 ELSE above END)) AS INTEGER) AS n_keep FROM p LEFT JOIN f USING (question_id)""",
+    "redundancy": f"WITH {ONE}, q AS (SELECT chunk_key AS question_id, text FROM one WHERE chunk_key % 100 = 0), {_DENSE}, m AS (SELECT question_id, max(score) AS s FROM dense WHERE chunk_key <> question_id AND rank <= 2 GROUP BY 1) SELECT count(*) AS n, round(avg(s), 4) AS mean_redundancy, CAST(count_if(s > 0.92) AS BIGINT) AS n_above FROM m",
     "knn_cosine": """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT a.vec_id AS query_id, b.vec_id, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 9) AS s FROM v a, v b WHERE a.vec_id % 100 = 0)
 SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 10""",
