@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.session import materialize
+
 # Constants of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Tables of up to so many rows are broadcast; larger ones are joined by shuffle.
@@ -47,10 +49,10 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
     text), ties by the larger key. A query with fewer matches is filled up with documents
     of score 0, so each gets k while there are so many. Repeated query words count again;
     a term in over half of the documents gets a quarter of the mean idf."""
-    index = postings(documents, blank_terms(F.col("text")))
+    index = materialize(postings(documents, blank_terms(F.col("text"))), "terms")  # four steps read it
     terms = bounded_broadcast(postings(queries.select(F.col("query").alias("key"), "text"), blank_terms(F.col("text"))).select(F.col("key").alias("query"), "term", F.col("tf").alias("qtf")))
-    sizes = documents.select("key", F.size(blank_terms(F.col("text"))).alias("dl"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    sizes = index.groupBy("key").agg(F.sum("tf").alias("dl"))
+    totals = documents.agg(F.count(F.lit(1)).alias("n")).crossJoin(index.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
     df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))
     raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
@@ -67,7 +69,7 @@ def bm25(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
 def tfidf(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
     """(query, key, rank, score): cosine of TF-IDF vectors with smooth idf, the offline
     text embedding; documents that share no term with a query are not ranked."""
-    index = postings(documents, word_terms(F.col("text")))
+    index = materialize(postings(documents, word_terms(F.col("text"))), "terms")  # four steps read it
     n = documents.agg(F.count(F.lit(1)).alias("n"))
     idf = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
     weighted = index.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
