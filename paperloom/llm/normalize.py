@@ -101,7 +101,7 @@ def _pattern() -> re.Pattern:
     return re.compile(f"[^\\W_]*(?:{odd}+[^\\W_]*)+")
 
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = re.compile(rf"[^\W\d_][^\W\d_{_MARKS}]*(?:[{_MARKS}]+[^\W\d_]*)*")
 
 
 @lru_cache(maxsize=1 << 16)
@@ -143,9 +143,10 @@ def consistent_text(s: str) -> str:
 
 
 def _neighbour(s: str, at: int, step: int) -> str:
-    """The nearest word before or behind a place, within 40 characters."""
-    part = s[max(0, at - 40) : at] if step < 0 else s[at : at + 40]
-    found = _LETTERS.findall(part)
+    """The nearest word before or behind a place, within 80 characters, as it will read
+    when invisible characters are gone and marks composed."""
+    part = s[max(0, at - 80) : at] if step < 0 else s[at : at + 80]
+    found = _LETTERS.findall(_rewrite(part, True))
     return (found[-1] if step < 0 else found[0]) if found else ""
 
 
