@@ -37,8 +37,7 @@ def build(spark: SparkSession, folder: str, output: str, pattern: str = "*.txt",
     scored = tagged.withColumn("confidence", T.confidence(F.col("text"), F.col("section"), F.col("token_count"), F.col("entities")))
     store.write("scored", scored)
     scored = store.read("scored")
-    edges = graph.entity_edges(graph.incidence(scored), scored.select(F.col("chunk_key").alias("key")))
-    store.write("edges", edges)
+    store.write("edges", graph.all_edges(scored))
     relations = graph.agreements(store.read("edges"), scored.select(F.col("chunk_key").alias("key"), T.direction(F.col("text")).alias("direction")))
     other = scored.select(F.col("chunk_key").alias("dst"), "chunk_id", "paper_title")
     linked = relations.join(other, "dst").groupBy(F.col("src").alias("chunk_key")).agg(

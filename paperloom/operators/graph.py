@@ -1,15 +1,17 @@
-"""The entity graph of chunks, kept as its incidence table: (key, entity) rows.
+"""The graph of chunks: entity edges, kept as their incidence table of (key, entity) rows,
+and the weaker theme edges.
 
-Edges follow from it by a join. They are computed for the nodes a query asks about, never
-for all pairs of a hot entity's chunks.
+Entity edges follow by a join, for the nodes a query asks about; theme edges are at most ten
+a chunk and are made for all.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.search import bounded_broadcast
+from paperloom.session import materialize
 
 # Edge weights.
 CROSS_ENTITY, WITHIN_ENTITY, CROSS_THEME, WITHIN_THEME = 1.5, 0.8, 0.6, 0.3
@@ -43,19 +45,51 @@ def positions(rows: DataFrame, group: str, key: str) -> DataFrame:
     return local.join(before, [group, "_block"]).withColumn("pos", F.col("_before") + F.col("_local")).drop("_block", "_before", "_local")
 
 
+def theme_places(chunks: DataFrame, *rest: Column | str) -> DataFrame:
+    """(theme, key, paper, *rest, pos): each themed chunk's place in its theme by key."""
+    themed = chunks.where("trim(theme) <> ''").select(F.col("chunk_key").alias("key"), F.coalesce("paper_title", F.lit("")).alias("paper"), F.lower(F.col("theme")).alias("theme"), *rest)
+    return positions(themed, "theme", "key")
+
+
 def theme_edges(chunks: DataFrame) -> DataFrame:
     """(src, dst, weight, cross_paper): chunks of one theme at most five places apart in
     the order of their keys, unless they share an entity. The distance is an equi-join on
     places, so a theme of any size is no group of its own."""
-    themed = chunks.select(F.col("chunk_key").alias("key"), F.coalesce("paper_title", F.lit("")).alias("paper"), F.lower(F.col("theme")).alias("theme"), "entities").where("trim(theme) <> ''")
     names = F.transform(F.filter(F.coalesce("entities", F.array().cast("array<string>")), lambda e: F.length(e) > 2), lambda e: F.upper(e))
-    placed = positions(themed.withColumn("names", names).drop("entities"), "theme", "key")
+    placed = theme_places(chunks, names.alias("names"))
     left = placed.select("theme", F.col("key").alias("src"), F.col("paper").alias("p1"), F.col("names").alias("n1"), F.explode(F.sequence(F.col("pos") + 1, F.col("pos") + THEME_WINDOW)).alias("pos"))
     pairs = left.join(placed.select("theme", F.col("key").alias("dst"), F.col("paper").alias("p2"), F.col("names").alias("n2"), "pos"), ["theme", "pos"])
     cross = F.col("p1") != F.col("p2")
     return pairs.where(~F.arrays_overlap("n1", "n2")).select("src", "dst", F.when(cross, CROSS_THEME).otherwise(WITHIN_THEME).alias("weight"), cross.alias("cross_paper"))
 
 
+def theme_neighbours(places: DataFrame, rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """(src, dst, weight): the theme edges of the nodes of sources (key), either way."""
+    mine = places.join(bounded_broadcast(sources.select("key").distinct()), "key", "left_semi")
+    steps = F.array(*[F.col("pos") + i for i in range(-THEME_WINDOW, THEME_WINDOW + 1) if i])
+    mine = mine.select("theme", F.col("key").alias("src"), F.col("paper").alias("src_paper"), F.explode(steps).alias("pos"))
+    cross = F.col("paper") != F.col("src_paper")
+    near = places.join(bounded_broadcast(mine), ["theme", "pos"]).select("src", F.col("key").alias("dst"), F.when(cross, CROSS_THEME).otherwise(WITHIN_THEME).alias("weight"))
+    near = materialize(near, "theme-steps")
+    side = lambda c: rows.select(F.col("key").alias(c), "entity")
+    named = side("src").join(bounded_broadcast(near.select("src", "dst")), "src")
+    shared = side("dst").join(bounded_broadcast(named), ["dst", "entity"]).select("src", "dst")
+    return near.join(shared, ["src", "dst"], "left_anti")
+
+
+def both_ways(edges: DataFrame) -> DataFrame:
+    """Theme edges with each end as src."""
+    rest = [c for c in edges.columns if c not in ("src", "dst")]
+    return edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest))
+
+
+def all_edges(chunks: DataFrame) -> DataFrame:
+    """(src, dst, weight, n_shared, cross_paper): the whole graph, entity and theme edges,
+    each from both its ends; theme edges share no entity."""
+    entity = entity_edges(incidence(chunks), chunks.select(F.col("chunk_key").alias("key")))
+    return entity.unionByName(both_ways(theme_edges(chunks)).withColumn("n_shared", F.lit(0).cast("long")))
+
+
 def agreements(edges: DataFrame, directions: DataFrame) -> DataFrame:
     """(src, dst, relation): cross-paper edges whose ends' directions (key, direction) agree
     ('consensus', both up or both down) or conflict ('contradiction', one up, one down)."""
@@ -64,17 +98,22 @@ def agreements(edges: DataFrame, directions: DataFrame) -> DataFrame:
     return rows.select("src", "dst", F.when(F.col("src_direction") == F.col("dst_direction"), "consensus").otherwise("contradiction").alias("relation"))
 
 
-def walk(rows: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 4) -> DataFrame:
-    """(query, key, hop): nodes reached from seeds (query, key). Each hop takes the first
+def walk(rows: DataFrame, seeds: DataFrame, depth: int = 2, most: int = 4, themes: DataFrame | None = None) -> DataFrame:
+    """(query, key, hop): nodes reached from seeds (query, key) over the entity edges of the
+    incidence rows and the theme edges of themes (theme_places). Each hop takes the first
     ``most`` rows of the frontier's edges to unvisited nodes by weight and key, repeats
     among them count once, and the walk ends at ``most`` nodes."""
-    visited = seeds.select("query", "key").distinct()
+    rows = materialize(rows, "incidence")  # read by every hop
+    themes = None if themes is None else materialize(themes, "themes")
+    visited = materialize(seeds.select("query", "key").distinct(), "walk")
     frontier, reached = visited, None
     for hop in range(1, depth + 1):
-        edges = entity_edges(rows, frontier)
+        edges = entity_edges(rows, frontier).select("src", "dst", "weight")
+        if themes is not None:
+            edges = edges.unionByName(theme_neighbours(themes, rows, frontier))
         steps = frontier.join(edges, frontier.key == edges.src).select("query", F.col("dst").alias("key"), "weight").join(visited, ["query", "key"], "left_anti")
         ranked = steps.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("weight"), F.desc("key")))).where(F.col("r") <= most)
-        new = ranked.groupBy("query", "key").agg(F.min("r").alias("r")).withColumn("hop", F.lit(hop))
+        new = materialize(ranked.groupBy("query", "key").agg(F.min("r").alias("r")).withColumn("hop", F.lit(hop)), "walk")
         reached = new if reached is None else reached.unionByName(new)
         visited, frontier = visited.unionByName(new.select("query", "key")), new.select("query", "key")
     total = reached.withColumn("n", F.row_number().over(Window.partitionBy("query").orderBy("hop", "r")))

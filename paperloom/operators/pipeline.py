@@ -47,7 +47,7 @@ def candidates(c: DataFrame, q: DataFrame, found=None, weights=R.WEIGHTS, graph=
     if graph:
         fused = materialize(fused, "fused")
         seeds = S.top_k(fused, R.MAX_K, F.desc("norm_score"), "key")
-        reached = G.walk(G.incidence(c), seeds).join(fused, ["query", "key"], "left_anti")
+        reached = G.walk(G.incidence(c), seeds, themes=G.theme_places(c)).join(fused, ["query", "key"], "left_anti")
         fused = fused.select("query", "key", "norm_score", "sources").unionByName(reached.select("query", "key", F.lit(R.GRAPH_SCORE).alias("norm_score"), F.lit("graph").alias("sources")))
     return R.rescore(fused, q, c)
 

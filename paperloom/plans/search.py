@@ -139,9 +139,9 @@ def consensus_pairs(spark, d):
 
 def graph_walk_2hop(spark, d):
     """From each question's relevant chunks."""
-    c = one_chunk(spark, d, "chunk_id", "paper_title", "entities")
+    c = one_chunk(spark, d, "chunk_id", "paper_title", "entities", "theme")
     seeds = E.relevant(questions(spark, d), "relevant_chunk_ids", "chunk_id").join(c.select("chunk_id", F.col("chunk_key").alias("key")), "chunk_id").select("query", "key")
-    return _named(G.walk(G.incidence(c), seeds)).select("question_id", "chunk_key", "hop")
+    return _named(G.walk(G.incidence(c), seeds, themes=G.theme_places(c))).select("question_id", "chunk_key", "hop")
 
 
 def entity_statistics(spark, d):

@@ -192,6 +192,29 @@ def test_walk_spends_its_slots_on_repeats(spark):
     assert rows(graph.walk(graph.incidence(c), seeds, 2, 2)) == [(1, names["a"], 1), (1, names["d"], 2)]
 
 
+def test_walk_follows_entity_and_theme_edges(spark):
+    """1-2 share an entity; 3 and 4 hang on by their theme alone; 1-5 share both kinds."""
+    data = [(1, "P", ["TP53", "BRCA1"], "Zinc"), (2, "P", ["tp53"], "other"), (3, "Q", [], "zinc"), (4, "Q", None, "zinc"), (5, "P", ["BRCA1"], "zinc")]
+    c = spark.createDataFrame(data, NODES)
+    seeds = spark.createDataFrame([(1, 1), (2, 3)], "query int, key long")
+    reached = graph.walk(graph.incidence(c), seeds, themes=graph.theme_places(c))
+    # ranks of query 1: 5 and 2 by entity (0.8), 4 and 3 by theme (0.6); query 2 meets 5 and 1 (0.6), 4 (0.3), then 2
+    assert rows(reached) == [(1, 2, 1), (1, 3, 1), (1, 4, 1), (1, 5, 1), (2, 1, 1), (2, 2, 2), (2, 4, 1), (2, 5, 1)]
+    edges = graph.all_edges(c)
+    assert rows(edges.where("src = 1").select("dst", "weight", "n_shared")) == [(2, 0.8, 1), (3, 0.6, 0), (4, 0.6, 0), (5, 0.8, 1)]
+    assert edges.count() == edges.select("src", "dst").distinct().count() == 2 * 7
+
+
+def test_pipeline_walks_theme_edges(spark, monkeypatch):
+    from paperloom.operators import pipeline, retrieval
+
+    data = [(1, "P", [], "zinc"), (2, "Q", [], "zinc")]
+    c = spark.createDataFrame(data, NODES)
+    monkeypatch.setattr(retrieval, "rescore", lambda fused, q, c: fused)
+    found = {"bm25": spark.createDataFrame([(7, 1, 1)], "query int, key long, rank int")}
+    assert rows(pipeline.candidates(c, None, found).select("query", "key", "sources")) == [(7, 1, "bm25"), (7, 2, "graph")]
+
+
 def test_tag_cache_round_trip(spark, tmp_path):
     c = spark.createDataFrame([("a", "text one", "Methods", "T", "th"), ("b", "text two", "Results", "T", None)], "chunk_id string, text string, section string, paper_title string, theme string")
     path = str(tmp_path / "cache")
