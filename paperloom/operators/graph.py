@@ -34,6 +34,14 @@ def entity_edges(rows: DataFrame, sources: DataFrame) -> DataFrame:
     return pairs.groupBy("src", F.col("key").alias("dst")).agg(F.round(F.sum(F.when(cross, CROSS_ENTITY).otherwise(WITHIN_ENTITY)), 6).alias("weight"), F.count(F.lit(1)).alias("n_shared"), F.first(cross).alias("cross_paper"))
 
 
+def linking(rows: DataFrame, *by: str) -> DataFrame:
+    """The rows (entity, ...) of entities that link several: rows, or distinct values of the
+    columns by. A row an end instead of one a pair, they hold every edge of every node:
+    two rows of one entity are its share of their nodes' edge."""
+    n = F.countDistinct(*by) if by else F.count(F.lit(1))
+    return rows.join(rows.groupBy("entity").agg(n.alias("_n")).where("_n > 1"), "entity", "left_semi")
+
+
 def positions(rows: DataFrame, group: str, key: str) -> DataFrame:
     """rows with ``pos``, each row's place in its group by key, from 1: blocks of keys are
     numbered alone and shifted by the sizes of the blocks before, so a group of any size

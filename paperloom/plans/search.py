@@ -127,11 +127,30 @@ def entity_edges(spark, d):
     return G.entity_edges(G.incidence(c), _nodes(c))
 
 
+def entity_members(spark, d):
+    """The entity edges of all chunks, as the members of every entity that links some: an
+    edge is a pair of chunks with an entity in common, 1.5 or 0.8 for each, across papers
+    or within one."""
+    rows = G.linking(G.incidence(one_chunk(spark, d, "paper_title", "entities")))
+    return rows.select("entity", "paper", F.col("key").alias("chunk_key"))
+
+
 def theme_edges(spark, d):
     return G.theme_edges(one_chunk(spark, d, "paper_title", "entities", "theme"))
 
 
+def consensus_members(spark, d):
+    """The agreements and contradictions of all chunks, as members of entities: chunks of
+    different papers with an entity in common agree if their directions are equal and
+    contradict each other if not."""
+    c = one_chunk(spark, d, "paper_title", "entities", "text")
+    said = c.select(F.col("chunk_key").alias("key"), T.direction(F.col("text")).alias("direction")).where("direction <> 'neutral'")
+    return G.linking(G.incidence(c).join(said, "key"), "paper").select("entity", "paper", F.col("key").alias("chunk_key"), "direction")
+
+
 def consensus_pairs(spark, d):
+    """Agreement and contradiction of the chunks whose key is divisible by 100 with all
+    chunks."""
     c = one_chunk(spark, d, "paper_title", "entities", "text")
     edges = G.entity_edges(G.incidence(c), _nodes(c))
     return G.agreements(edges, c.select(F.col("chunk_key").alias("key"), T.direction(F.col("text")).alias("direction")))
@@ -208,7 +227,7 @@ def ablation_grid(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, redundancy, knn_cosine, ann_recall, knn_per_label, entity_edges, theme_edges, consensus_pairs, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
+    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, redundancy, knn_cosine, ann_recall, knn_per_label, entity_edges, entity_members, theme_edges, consensus_pairs, consensus_members, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
 }
 
 # ---- the same rows in SQL ----
@@ -286,6 +305,8 @@ SELECT query_id, vec_id, CAST(rank AS INTEGER) AS rank, round(s, 4) AS score FRO
 s AS (SELECT a.vec_id AS q, a.label AS mine, b.vec_id, b.label, round(list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)), 9) AS s FROM v a, v b WHERE a.vec_id % 100 = 0)
 SELECT mine AS label, count(*) AS n, round(avg(CASE WHEN mine = label THEN 1.0 ELSE 0.0 END), 6) AS same FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, vec_id) AS rank FROM s) WHERE rank <= 11 AND vec_id <> q GROUP BY mine""",
     "entity_edges": f"WITH {ONE}, {_INC}, {_EDGES} SELECT * FROM edges",
+    "entity_members": f"WITH {ONE}, {_INC} SELECT entity, paper, chunk_key FROM inc WHERE entity IN (SELECT entity FROM inc GROUP BY entity HAVING count(*) > 1)",
+    "consensus_members": f"WITH {ONE}, {_INC}, dir AS (SELECT chunk_key, {DIRECTION} AS direction FROM one), m AS (SELECT entity, paper, chunk_key, direction FROM inc JOIN dir USING (chunk_key) WHERE direction <> 'neutral') SELECT * FROM m WHERE entity IN (SELECT entity FROM m GROUP BY entity HAVING count(DISTINCT paper) > 1)",
     "theme_edges": f"""WITH {ONE},
 t AS (SELECT chunk_key, coalesce(paper_title, '') AS paper, lower(theme) AS theme, list_transform(list_filter(coalesce(entities, []), lambda e: length(e) > 2), lambda e: {_UPPER('e')}) AS names, row_number() OVER (PARTITION BY lower(theme) ORDER BY chunk_key) AS pos FROM one WHERE trim(theme) <> '')
 SELECT a.chunk_key AS src, b.chunk_key AS dst, CAST(CASE WHEN a.paper <> b.paper THEN {G.CROSS_THEME} ELSE {G.WITHIN_THEME} END AS DOUBLE) AS weight, a.paper <> b.paper AS cross_paper FROM t a JOIN t b ON a.theme = b.theme AND b.pos BETWEEN a.pos + 1 AND a.pos + {G.THEME_WINDOW} WHERE NOT list_has_any(a.names, b.names)""",
