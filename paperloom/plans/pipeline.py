@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as T
 from paperloom.operators import chunking, history, sections, tagging
 from paperloom.operators.evaluation import relevant
+from paperloom.operators.graph import linking
 from paperloom.plans.text_scoring import ONE, one_chunk
 from paperloom.sources.store import latest
 from paperloom.session import shared_dir, table
@@ -67,12 +68,24 @@ def golden_pools(spark, d):
     return c.select(F.explode(pools).alias("pool")).groupBy("pool").agg(F.count(F.lit(1)).alias("n"))
 
 
-def cross_paper_pairs(spark, d):
-    """For each entity of more than two characters in several papers, one chunk of each of
-    the two papers whose chunks come first by a hash: sampling without chance."""
+def _paper_chunks(spark, d):
+    """(entity, paper_id, p): for each entity of more than two characters and each of its
+    papers, p.chunk_key of the chunk that comes first by a hash: sampling without chance."""
     c = one_chunk(spark, d, "paper_id", "entities").select("chunk_key", "paper_id", F.explode("entities").alias("e")).where("length(e) > 2").select("chunk_key", "paper_id", F.lower("e").alias("entity")).distinct()
     h = F.md5(F.concat_ws("|", "entity", F.col("chunk_key").cast("string")))
-    best = c.groupBy("entity", "paper_id").agg(F.min(F.struct(h.alias("h"), "chunk_key")).alias("p"))
+    return c.groupBy("entity", "paper_id").agg(F.min(F.struct(h.alias("h"), "chunk_key")).alias("p"))
+
+
+def cross_paper_members(spark, d):
+    """All pairs of papers of each entity in several papers, with one chunk of each paper, as
+    their members: any two rows of one entity are a pair."""
+    return linking(_paper_chunks(spark, d), "paper_id").select("entity", "paper_id", F.col("p.chunk_key").alias("chunk_key"))
+
+
+def cross_paper_pairs(spark, d):
+    """For each entity in several papers one pair: the chunks of the two papers whose chunks
+    come first by the hash. cross_paper_members holds all pairs."""
+    best = _paper_chunks(spark, d)
     first = best.groupBy("entity").agg(F.min(F.struct("p", "paper_id")).alias("a"))
     second = best.join(first, "entity").where(F.col("paper_id") != F.col("a.paper_id")).groupBy("entity", "a").agg(F.min(F.struct("p", "paper_id")).alias("b"))
     return second.select("entity", F.col("a.p.chunk_key").alias("chunk_a"), F.col("b.p.chunk_key").alias("chunk_b"))
@@ -120,7 +133,7 @@ def relevant_papers(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (document_sections, chunk_packing, section_headers, tagged_chunks, upsert_latest, multi_key_lookup, build_summary, golden_pools, cross_paper_pairs, token_budget_window, token_budget_stream, last_messages, difficulty_counts, relevant_papers)
+    for f in (document_sections, chunk_packing, section_headers, tagged_chunks, upsert_latest, multi_key_lookup, build_summary, golden_pools, cross_paper_pairs, cross_paper_members, token_budget_window, token_budget_stream, last_messages, difficulty_counts, relevant_papers)
 }
 
 _TYPE = T.CHUNK_TYPES
@@ -134,6 +147,7 @@ SQL = {
     "build_summary": f"WITH {ONE} SELECT count(*) AS total_chunks, CAST(count_if(coalesce(is_figure_chunk, false)) AS BIGINT) AS figure_chunks, CAST(count_if(NOT coalesce(is_figure_chunk, false)) AS BIGINT) AS body_chunks, count(DISTINCT paper_title) AS papers, CAST(sum(len(coalesce(conflict_chunk_ids, []))) AS BIGINT) AS conflicts FROM one",
     "golden_pools": f"WITH {ONE}, p AS (SELECT 'single' AS pool FROM one WHERE chunk_type IN ('results', 'conclusion', 'background') AND confidence > 0.55 AND length(text) > 80 UNION ALL SELECT 'figure' FROM one WHERE is_figure_chunk UNION ALL SELECT 'consensus' FROM one WHERE len(consensus_papers) > 0 AND chunk_type IN ('results', 'conclusion') AND confidence > 0.55) SELECT pool, count(*) AS n FROM p GROUP BY 1",
     "cross_paper_pairs": f"WITH {ONE}, c AS (SELECT DISTINCT chunk_key, paper_id, lower(e) AS entity FROM (SELECT chunk_key, paper_id, unnest(entities) AS e FROM one) WHERE length(e) > 2), h AS (SELECT *, md5(entity || '|' || chunk_key) AS h FROM c), b AS (SELECT entity, paper_id, arg_min(chunk_key, h) AS chunk_key, min(h) AS h FROM h GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY h) AS n FROM b) SELECT x.entity, x.chunk_key AS chunk_a, y.chunk_key AS chunk_b FROM r x JOIN r y ON x.entity = y.entity AND x.n = 1 AND y.n = 2",
+    "cross_paper_members": f"WITH {ONE}, c AS (SELECT DISTINCT chunk_key, paper_id, lower(e) AS entity FROM (SELECT chunk_key, paper_id, unnest(entities) AS e FROM one) WHERE length(e) > 2), b AS (SELECT entity, paper_id, arg_min(chunk_key, md5(entity || '|' || chunk_key)) AS chunk_key FROM c GROUP BY 1, 2) SELECT entity, paper_id, chunk_key FROM b WHERE entity IN (SELECT entity FROM b GROUP BY entity HAVING count(DISTINCT paper_id) > 1)",
     "token_budget_window": "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) + 1e-9, 4) AS trailing FROM events WHERE ts IS NOT NULL",
     "token_budget_stream": "SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY 1, 2",
     "last_messages": "SELECT user_id AS conv_id, event_id AS turn, event_type AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 6",

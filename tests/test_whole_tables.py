@@ -1,6 +1,6 @@
 """The compact forms of self-joins hold all pairs of all chunks."""
 
-from paperloom.plans import search
+from paperloom.plans import pipeline, search
 from tests.compare import connect
 
 FOLDER = "/root/testdata/sf0.001"
@@ -31,3 +31,13 @@ def test_consensus_members_hold_all_pairs(spark):
     made = "SELECT DISTINCT a.chunk_key, b.chunk_key, CASE WHEN a.direction = b.direction THEN 'consensus' ELSE 'contradiction' END FROM members a JOIN members b ON a.entity = b.entity AND a.paper <> b.paper"
     got, known = set(con.execute(made).fetchall()), set(con.execute(_all(con, "consensus_pairs")).fetchall())
     assert got == known and any(a % 100 and b % 100 for a, b, _ in got)
+
+
+def test_cross_paper_members_hold_all_paper_pairs(spark):
+    con = _members(spark, pipeline.cross_paper_members)
+    con.execute("CREATE TABLE c AS SELECT DISTINCT chunk_key, paper_id, lower(e) AS entity FROM (SELECT chunk_key, paper_id, unnest(entities) AS e FROM chunks) WHERE length(e) > 2")
+    papers = lambda t: set(con.execute(f"SELECT DISTINCT a.entity, a.paper_id, b.paper_id FROM {t} a JOIN {t} b ON a.entity = b.entity AND a.paper_id < b.paper_id").fetchall())
+    known = papers("c")
+    assert papers("members") == known and len(known) > len(pipeline.cross_paper_pairs(spark, FOLDER).collect())
+    n, own = con.execute("SELECT count(*), count(DISTINCT (entity, paper_id)) FROM members JOIN c USING (entity, paper_id, chunk_key)").fetchone()
+    assert n == own == con.execute("SELECT count(*) FROM members").fetchone()[0]
