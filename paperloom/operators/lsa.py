@@ -1,15 +1,15 @@
 """Latent semantic vectors of texts: the trained offline embedder.
 
-TF-IDF of hashed one- and two-word terms with sublinear term counts, reduced by a
-randomised singular value decomposition. Its sums over the corpus are matrices of fixed
-size, FEATURES x (dims + EXTRA), added up on the executors in two passes over all texts.
+TF-IDF of the most frequent one- and two-word terms with sublinear term counts, reduced by
+a randomised singular value decomposition. Its sums over the corpus are matrices of fixed
+size, FEATURES x (dims + EXTRA), added up on the executors in two passes over all texts, one
+matrix a core at most.
 """
 
 from __future__ import annotations
 
 import re
-import zlib
-from functools import lru_cache
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -18,112 +18,129 @@ from pyspark.sql import functions as F
 
 from paperloom.operators.search import STOP_WORDS
 
-FEATURES, EXTRA, SEED = 8192, 10, 42
+FEATURES, DIMS, EXTRA, SEED = 30_000, 256, 10, 42
+SLICES, TASK = 32, 25_000  # pieces of a matrix; texts a task has at least
+BLOCK = 250  # texts: a term of theirs takes a row as wide as the basis
 _WORD = re.compile(r"[^\W]{2,}")
 _STOP = frozenset(STOP_WORDS)
 
 
-def term_counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, feature, count) of all texts' terms."""
+def _terms(text: str | None) -> list[str]:
+    words = [w for w in _WORD.findall((text or "").lower()) if w not in _STOP]
+    return words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+
+
+def vocabulary(texts: DataFrame) -> tuple[dict[str, int], np.ndarray]:
+    """The FEATURES most frequent terms of all texts (ties in their order) with their
+    places, and in how many texts each occurs."""
+
+    def count(batches):
+        for batch in batches:
+            total, within = Counter(), Counter()
+            for t in batch.column(0).to_pylist():
+                terms = _terms(t)
+                total.update(terms)
+                within.update(set(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64()), pa.array([within[x] for x in total], pa.int64())], ["term", "n", "df"])
+
+    rows = texts.mapInArrow(count, "term string, n long, df long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("df").alias("df")).orderBy(F.desc("n"), "term").limit(FEATURES).collect()
+    return {r["term"]: i for i, r in enumerate(rows)}, np.array([r["df"] for r in rows] or [0], np.float64)
+
+
+def term_counts(texts: list[str | None], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, feature, count) of all texts' known terms."""
     row, feature = [], []
     for i, t in enumerate(texts):
-        words = [w for w in _WORD.findall((t or "").lower()) if w not in _STOP]
-        terms = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
-        row += [i] * len(terms)
-        feature += [_bucket(x) for x in terms]
+        got = [known[x] for x in _terms(t) if x in known]
+        row += [i] * len(got)
+        feature += got
     if not row:
         return (np.empty(0, np.int64),) * 3
     key, counts = np.unique(np.array(row, np.int64) * FEATURES + np.array(feature, np.int64), return_counts=True)
     return key // FEATURES, key % FEATURES, counts
 
 
-def _grouped(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of values by index, (n, columns)."""
-    out = np.zeros((n, values.shape[1]))
-    if len(index):
-        order = np.argsort(index, kind="stable")
-        at, first = np.unique(index[order], return_index=True)
-        out[at] = np.add.reduceat(values[order], first, axis=0)
-    return out
-
-
-@lru_cache(maxsize=1 << 17)
-def _bucket(term: str) -> int:
-    return zlib.crc32(term.encode()) % FEATURES
+def _grouped(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct index values and the sums of their rows of values."""
+    order = np.argsort(index, kind="stable")
+    at, first = np.unique(index[order], return_index=True)
+    return at, np.add.reduceat(values[order], first, axis=0) if len(at) else values
 
 
-def weighted(texts: list[str | None], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def weighted(texts: list[str | None], known: dict[str, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The same with L2-normalised sublinear TF-IDF weights."""
-    row, feature, counts = term_counts(texts)
+    row, feature, counts = term_counts(texts, known)
     w = (1 + np.log(counts)) * idf[feature]
     norm = np.sqrt(np.bincount(row, w * w, len(texts)))
-    return row, feature, w / np.maximum(1e-30, norm[row])
+    return row, feature, (w / np.maximum(1e-30, norm[row])).astype(np.float32)
 
 
 def _sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
     """The sum of the tasks' matrices, slice by slice on the executors."""
 
     def add(table: pa.Table) -> pa.Table:
-        blobs = table.column("blob").to_pylist()
-        total = np.frombuffer(blobs[0], np.float64).copy()
-        for b in blobs[1:]:
-            total += np.frombuffer(b, np.float64)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "blob": pa.array([total.tobytes()], pa.binary())})
-
-    rows = sorted(parts.groupBy("part").applyInArrow(add, "part int, blob binary").collect(), key=lambda r: r["part"])
-    return np.concatenate([np.frombuffer(r["blob"], np.float64) for r in rows]).reshape(shape) if rows else np.zeros(shape)
+        total = 0
+        for b in table.column("blob"):
+            total = total + np.frombuffer(b.as_py(), np.float32).astype(np.float64)
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "blob": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    out = np.zeros(shape, np.float32)
+    slices = np.array_split(out.reshape(-1), SLICES)
+    for r in parts.groupBy("part").applyInArrow(add, "part int, blob binary").toLocalIterator():
+        slices[r["part"]][:] = np.frombuffer(r["blob"], np.float32)
+    return out
 
 
-def _sliced(total: np.ndarray, slices: int = 8) -> pa.RecordBatch:
-    parts = np.array_split(total.reshape(-1), slices)
-    return pa.RecordBatch.from_arrays([pa.array(range(slices), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["part", "blob"])
+def _sliced(total: np.ndarray):
+    for i, p in enumerate(np.array_split(total.reshape(-1), SLICES)):
+        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([p.astype(np.float32).tobytes()], pa.binary())], ["part", "blob"])
 
 
 class Model:
-    def __init__(self, idf: np.ndarray, basis: np.ndarray):
-        self.idf, self.basis = idf, basis
+    def __init__(self, known: dict[str, int], idf: np.ndarray, basis: np.ndarray):
+        self.known, self.idf, self.basis = known, idf, basis
+
+    def projected(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, features and weights of the texts' terms, and the texts in the basis."""
+        row, feature, w = weighted(texts, self.known, self.idf)
+        out = np.zeros((len(texts), self.basis.shape[1]), np.float32)
+        at, sums = _grouped(row, w[:, None] * self.basis[feature])
+        out[at] = sums
+        return row, feature, w, out
 
     def vectors(self, texts: list[str | None]) -> np.ndarray:
-        row, feature, w = weighted(texts, self.idf)
-        out = _grouped(row, w[:, None] * self.basis[feature], len(texts))
+        out = np.concatenate([self.projected(texts[a : a + BLOCK])[3] for a in range(0, max(1, len(texts)), BLOCK)])
         return out / np.maximum(1e-30, np.linalg.norm(out, axis=1, keepdims=True))
 
 
-def fit(documents: DataFrame, dims: int = 64) -> Model:
-    """The model of all documents (key, text); dims is at most the number of documents."""
+def fit(documents: DataFrame, dims: int = DIMS) -> Model:
+    """The model of all documents (key, text); dims is at most the number of documents less
+    one, and that of terms."""
     spark = documents.sparkSession
     texts = documents.select("text").where("text IS NOT NULL")
     n = texts.count()
     dims = max(1, min(dims, n - 1, FEATURES))
-
-    def frequencies(batches):
-        total = np.zeros(FEATURES)
-        for batch in batches:
-            _, feature, _ = term_counts(batch.column(0).to_pylist())
-            total += np.bincount(feature, minlength=FEATURES)
-        yield _sliced(total)
-
-    df = _sum(texts.mapInArrow(frequencies, "part int, blob binary"), (FEATURES,))
+    known, df = vocabulary(texts)
     idf = np.log((1 + n) / (1 + df)) + 1
-    basis = np.random.default_rng(SEED).normal(size=(FEATURES, min(FEATURES, dims + EXTRA)))
+    basis = np.random.default_rng(SEED).standard_normal((len(df), min(len(df), dims + EXTRA)), np.float32)
+    few = texts.coalesce(max(1, min(n // TASK, spark.sparkContext.defaultParallelism)))  # every task sends a matrix
     for _ in range(2):  # power iteration: basis <- A'A basis, orthonormal
-        model = spark.sparkContext.broadcast((idf, np.linalg.qr(basis)[0]))
+        model = spark.sparkContext.broadcast(Model(known, idf, np.linalg.qr(basis)[0]))
 
         def project(batches, model=model):
-            idf, basis = model.value
-            total = np.zeros_like(basis)
+            total = np.zeros(model.value.basis.shape)
             for batch in batches:
                 texts = batch.column(0).to_pylist()
-                for a in range(0, len(texts), 1000):  # a term's row has as many columns as the basis
-                    got = texts[a : a + 1000]
-                    row, feature, w = weighted(got, idf)
-                    y = _grouped(row, w[:, None] * basis[feature], len(got))
-                    total += _grouped(feature, w[:, None] * y[row], FEATURES)
-            yield _sliced(total)
-
-        basis = _sum(texts.mapInArrow(project, "part int, blob binary"), basis.shape)
+                for a in range(0, len(texts), BLOCK):
+                    row, feature, w, y = model.value.projected(texts[a : a + BLOCK])
+                    at, sums = _grouped(feature, w[:, None] * y[row])
+                    total[at] += sums
+            yield from _sliced(total)
+
+        basis = _sum(few.mapInArrow(project, "part int, blob binary"), basis.shape)
+        model.destroy()
     u, _, _ = np.linalg.svd(basis, full_matrices=False)
-    return Model(idf, u[:, :dims])
+    return Model(known, idf, np.ascontiguousarray(u[:, :dims]))
 
 
 def embed(documents: DataFrame, model: Model) -> DataFrame:

@@ -40,7 +40,7 @@ def hyde_topk(spark, d):
 
 def lsa_topk(spark, d):
     """Nearest chunks by latent semantic vectors, fitted on all chunks."""
-    texts = L.text_documents(one_chunk(spark, d, "text")).where("trim(text) <> ''")
+    texts = materialize(L.text_documents(one_chunk(spark, d, "text")).where("trim(text) <> ''"), "texts")
     model = lsa.fit(texts)
     asked = lsa.embed(questions(spark, d).select(F.col("query").alias("key"), "text"), model).withColumnRenamed("key", "query")
     return _named(S.knn(lsa.embed(texts, model), asked, 40)).select("question_id", "chunk_key", "rank", F.round("score", 4).alias("score"))

@@ -295,3 +295,20 @@ def test_lsa_finds_related_texts(spark):
     got = search.knn(lsa.embed(df, model), asked, 20)
     assert {r["key"] for r in got.collect()} == set(range(20))
     assert lsa.fit(df.limit(0), 4).vectors(["x"]).shape == (1, 1)
+
+
+def test_lsa_keeps_distinct_terms_and_dims(spark, monkeypatch):
+    """12,000 words in 400 texts: every term has a place of its own, the vectors 256 numbers;
+    more terms than places keep the most frequent."""
+    from paperloom.operators import lsa
+
+    data = [(i, " ".join(f"w{i}x{j}" for j in range(30))) for i in range(400)]
+    df = spark.createDataFrame(data, "key long, text string")
+    known, frequency = lsa.vocabulary(df.select("text"))
+    assert len(known) == len(frequency) == len(set(known.values())) == 400 * (30 + 29)
+    model = lsa.fit(df)
+    assert model.vectors(["w1x1"]).shape == (1, 256)
+    assert lsa.fit(df.limit(5)).vectors(["w1x1"]).shape == (1, 4)
+    monkeypatch.setattr(lsa, "FEATURES", 3)
+    texts = spark.createDataFrame([("zeta eta",), ("zeta eta",), ("beta alpha",)], "text string")
+    assert lsa.vocabulary(texts)[0] == {"eta": 0, "zeta": 1, "zeta eta": 2}
