@@ -58,7 +58,7 @@ def rrf_fusion(spark, d):
 
 
 def rescored(spark, d):
-    """Fused candidates with their metadata boosts."""
+    """Fused candidates with their metadata boosts, like its SQL without the graph walk's."""
     rows = L.candidates(one_chunk(spark, d), questions(spark, d), graph=False)
     return _named(rows).select("question_id", "chunk_key", F.round("final", 6).alias("final"))
 
@@ -70,8 +70,9 @@ def retrieve_hybrid(spark, d):
 
 
 def dedup_greedy(spark, d):
+    """The candidates of the searches and the graph walk without near-duplicates."""
     c = one_chunk(spark, d)
-    ranked = materialize(L.ranked_candidates(L.candidates(c, questions(spark, d), graph=False)), "ranked")
+    ranked = materialize(L.ranked_candidates(L.candidates(c, questions(spark, d))), "ranked")
     kept = R.greedy_dedup(ranked.select("query", "key", "rank"), L.similar_candidates(ranked, c))
     return _named(kept).select("question_id", "chunk_key", "rank")
 
@@ -84,7 +85,7 @@ def dynamic_cutoff(spark, d):
 def compress_context(spark, d):
     """Sentences of the retrieved chunks that fit 400 tokens."""
     c, q = one_chunk(spark, d), questions(spark, d)
-    return L.compress(L.retrieved(c, q, graph=False), c, q).withColumnRenamed("query", "question_id")
+    return L.compress(L.retrieved(c, q), c, q).withColumnRenamed("query", "question_id")
 
 
 def redundancy(spark, d):

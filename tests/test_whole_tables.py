@@ -41,3 +41,15 @@ def test_cross_paper_members_hold_all_paper_pairs(spark):
     assert papers("members") == known and len(known) > len(pipeline.cross_paper_pairs(spark, FOLDER).collect())
     n, own = con.execute("SELECT count(*), count(DISTINCT (entity, paper_id)) FROM members JOIN c USING (entity, paper_id, chunk_key)").fetchone()
     assert n == own == con.execute("SELECT count(*) FROM members").fetchone()[0]
+
+
+def test_dedup_and_compression_take_the_graph_walk(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(search.L, "candidates", lambda *a, graph=True, **k: asked.append(graph) or spark.range(0))
+    monkeypatch.setattr(search.L, "retrieved", lambda *a, graph=True, **k: asked.append(graph) or spark.range(0))
+    for query in (search.dedup_greedy, search.compress_context):
+        try:
+            query(spark, FOLDER)
+        except Exception:  # only the call counts
+            pass
+    assert asked == [True, True]
