@@ -61,7 +61,12 @@ def p10_clean(spark, d):
     return residue.clean_documents(table(spark, d, "documents")).select("doc_id", "source", "n_chars")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report, p10_found, p10_clean)}
+def p10_validation(spark, d):
+    """Precision and recall of the classifier on unseen hosts and unseen pattern families."""
+    return residue.validation(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report, p10_found, p10_clean, p10_validation)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
