@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from paperloom.functions.columns import words
 from paperloom.llm import near_duplicates, normalize, packing, qa_defects, residue, set_join, splitting, tokens
 from paperloom.plans.data_quality import FOLD_ENTITY, STRIP
 from paperloom.session import table
@@ -16,6 +19,21 @@ def p1_pieces(spark, d):
     return splitting.split_corpus(table(spark, d, "sections"), table(spark, d, "chunks"))
 
 
+def p1_coverage(spark, d):
+    """Of each oversized item: the words its pieces add, and whether all pieces keep the
+    limit, all overlaps theirs, and every cut has an overlap."""
+    p = p1_pieces(spark, d)
+    new, all_words = words(F.expr("substring(text, new_from - start + 1)")), words(F.col("text"))
+    shared = F.floor((all_words - new) * 4 / 3)
+    return p.groupBy("src_table", "item_key").agg(
+        F.sum(new).cast("long").alias("n_words"),
+        (F.max("n_tokens") <= splitting.LIMIT).alias("limit_kept"),
+        (F.max(shared) <= splitting.OVERLAP).alias("overlap_kept"),
+        (F.min(F.when(F.col("piece") > 0, all_words - new)) > 0).alias("all_overlap"),
+        (F.max("piece") + 1 == F.count(F.lit(1))).alias("numbered"),
+    )
+
+
 def p2_found(spark, d):
     return qa_defects.defects(table(spark, d, "eval_questions"))
 
@@ -66,7 +84,7 @@ def p10_validation(spark, d):
     return residue.validation(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report, p10_found, p10_clean, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p8_ids, p9_containers, p9_report, p10_found, p10_clean, p10_validation)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
@@ -84,6 +102,10 @@ n AS (SELECT chunk_key, count(*) AS n FROM g GROUP BY 1)
 SELECT a_key, b_key FROM (SELECT a.chunk_key AS a_key, b.chunk_key AS b_key, count(*) AS common FROM g a JOIN g b ON a.g = b.g AND a.chunk_key < b.chunk_key GROUP BY 1, 2)
 JOIN n x ON x.chunk_key = a_key JOIN n y ON y.chunk_key = b_key WHERE 10 * common >= 6 * (x.n + y.n - common)""",
     "p1_found": f"{_OVER('sections', 'section_id')} UNION ALL {_OVER('chunks', 'chunk_key')}",
+    "p1_coverage": " UNION ALL ".join(
+        f"SELECT '{t}' AS src_table, {k} AS item_key, n_words, true AS limit_kept, true AS overlap_kept, true AS all_overlap, true AS numbered FROM (SELECT DISTINCT {k}, len(regexp_extract_all(text, '[^\\s\\p{{Z}}\\x{{85}}\\x{{1c}}-\\x{{1f}}]+')) AS n_words FROM {t}) WHERE n_words * 4 // 3 > 650"
+        for t, k in (("sections", "section_id"), ("chunks", "chunk_key"))
+    ),
     "p5_found": f"""WITH one AS (SELECT chunk_key, any_value(entities) AS entities, any_value(paper_title) AS title FROM chunks GROUP BY chunk_key),
 tags AS (SELECT DISTINCT chunk_key, lower(trim(regexp_replace(title, '[\\s\\p{{Z}}]+', ' ', 'g'))) AS title, lower({STRIP(FOLD_ENTITY)}) AS v
   FROM (SELECT chunk_key, title, unnest(entities) AS e FROM one WHERE title IS NOT NULL)),

@@ -105,9 +105,7 @@ def cuts(levels: np.ndarray, marks: np.ndarray, limit: int = LIMIT, overlap: int
         inner = natural[np.searchsorted(natural, max(at + 1, cut - shared)) : np.searchsorted(natural, cut)]
         if len(inner):
             begin = int(inner[0])
-        elif len(natural) and natural[np.searchsorted(natural, begin, "right") - 1 if len(natural) else 0] >= begin:
-            begin = cut  # there are boundaries, only none near enough
-        else:
+        else:  # the last sentence alone is above the overlap: its last words
             begin = max(at + 1, cut - shared) if shared else cut
         at = cut
     out.append((begin, at, n))
