@@ -1,16 +1,18 @@
 """Encoding of the whole corpus with a public tokenizer (problem 8).
 
-Texts are encoded whole, in Arrow batches. A text above LONG characters is cut where the
+One pass without a shuffle: each row's text is encoded whole in the task that reads it, so
+rows stay apart whatever their ids. A text above LONG characters is cut where the
 tokenizer's own pattern always cuts (a character of one class before one of another), so
-its segments encode in parallel and concatenate exactly. A single unsplit piece above
-LONG, that has no such place, is cut into leaves; their token lists are joined as a tree:
-a window around each join is encoded anew, and grows until its tokens agree with both
-sides' own, from where on a byte-pair encoding can't differ any more.
+its segments encode in parallel threads and concatenate exactly. A single unsplit piece
+above LONG, that has no such place, is cut into leaves; their token lists are joined as a
+tree: a window around each join is encoded anew, and grows until its tokens agree with
+both sides' own, from where on a byte-pair encoding can't differ any more.
 """
 
 from __future__ import annotations
 
 import base64
+from concurrent.futures import ThreadPoolExecutor
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +24,8 @@ from pyspark.sql import functions as F
 from paperloom.session import tokenizer_path
 
 LONG = 16_384
+#: Threads of a task for the segments of a long text.
+THREADS = 4
 VOCABULARY = "byte_bpe_50k.tiktoken"
 # Fixed value: the public tokenizer's pattern.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -105,6 +109,22 @@ def encode_part(part: str, piece: int, enc) -> np.ndarray:
     return np.asarray(join_tree(leaves, enc), np.uint32)
 
 
+def encode_text(text: str, enc, pool: ThreadPoolExecutor, limit: int = LONG) -> np.ndarray:
+    """The tokens of one text, of whatever length."""
+    if len(text) <= limit:
+        return enc.encode_to_numpy(text, disallowed_special=())
+    parts = segments(text, limit)
+    encoded = list(pool.map(lambda p: encode_part(*p, enc), parts))
+    out, at = [], 0
+    while at < len(parts):
+        piece, end = parts[at][1], at + 1
+        while piece >= 0 and end < len(parts) and parts[end][1] == piece:
+            end += 1
+        out.append(encoded[at] if end == at + 1 else np.asarray(join_tree([e.tolist() for e in encoded[at:end]], enc), np.uint32))
+        at = end
+    return np.concatenate(out)
+
+
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
     offsets = np.zeros(len(arrays) + 1, np.int32)
     np.cumsum([len(a) for a in arrays], out=offsets[1:])
@@ -115,50 +135,20 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
 def encode(documents: DataFrame, vocabulary: str = VOCABULARY, key: str = "doc_id", text: str = "text", counts_only: bool = False) -> DataFrame:
     """(key, ids): each row's tokens without special ones; strings of special tokens are
     ordinary text. Null and empty texts give an empty list, a blank text is encoded as
-    it is. ``counts_only`` gives (key, n_tokens) instead. Repeated rows stay; an empty
-    table gives no rows; other columns don't matter. Texts of any length are whole.
+    it is. ``counts_only`` gives (key, n_tokens) instead. Repeated rows stay, rows of one
+    key with different texts too; an empty table gives no rows; other columns don't
+    matter. Texts of any length are whole.
     """
     path = tokenizer_path(vocabulary)
     rows = documents.select(F.col(key).cast("long").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    long = F.length("text") > LONG
     result = (lambda arrays: pa.array([len(a) for a in arrays], pa.int32())) if counts_only else _lists
-    schema = "key long, ids int" if counts_only else "key long, ids array<int>"
 
-    def whole(batches):
+    def run(batches):
         enc = encoding(path)
-        for batch in batches:
-            arrays = [enc.encode_to_numpy(t, disallowed_special=()) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), result(arrays)], ["key", "ids"])
-
-    def cut(batches):
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parts = segments(t)
-                n = len(parts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array([p for _, p in parts], pa.int32()), pa.array([s for s, _ in parts], pa.string())], ["key", "no", "piece", "part"]
-                )
-
-    def some(batches):
-        enc = encoding(path)
-        for batch in batches:
-            arrays = [encode_part(s, p, enc) for p, s in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], _lists(arrays)], ["key", "no", "piece", "ids"])
+        with ThreadPoolExecutor(THREADS) as pool:
+            for batch in batches:
+                arrays = [encode_text(t, enc, pool) for t in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0), result(arrays)], ["key", "ids"])
 
-    def together(table: pa.Table) -> pa.Table:
-        enc = encoding(path)
-        rows = sorted(dict(((r["no"]), r) for r in table.to_pylist()).items())
-        out: list[int] = []
-        at = 0
-        while at < len(rows):
-            piece, end = rows[at][1]["piece"], at + 1
-            while piece >= 0 and end < len(rows) and rows[end][1]["piece"] == piece:
-                end += 1
-            out += join_tree([rows[i][1]["ids"] for i in range(at, end)], enc)
-            at = end
-        return pa.table({"key": pa.array([rows[0][1]["key"]], pa.int64()), "ids": result([np.asarray(out, np.int64)])})
-
-    short = rows.where(~long).mapInArrow(whole, schema)
-    parts = rows.where(long).distinct().mapInArrow(cut, "key long, no int, piece int, part string").repartition("key", "no")
-    joined = parts.mapInArrow(some, "key long, no int, piece int, ids array<int>").groupBy("key").applyInArrow(together, schema)
-    return short.unionByName(joined).select(F.col("key").alias(key), F.col("ids").alias("n_tokens" if counts_only else "ids"))
+    encoded = rows.mapInArrow(run, "key long, ids int" if counts_only else "key long, ids array<int>")
+    return encoded.select(F.col("key").alias(key), F.col("ids").alias("n_tokens" if counts_only else "ids"))

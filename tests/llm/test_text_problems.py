@@ -1,6 +1,7 @@
 """Consistent form, tokens, packing and splitting."""
 
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pytest
@@ -64,15 +65,9 @@ def enc():
 
 
 def joined(text, limit, enc):
-    parts, out, i = T.segments(text, limit), [], 0
-    assert "".join(p for p, _ in parts) == text
-    while i < len(parts):
-        j = i + 1
-        while parts[i][1] >= 0 and j < len(parts) and parts[j][1] == parts[i][1]:
-            j += 1
-        out += T.join_tree([T.encode_part(s, p, enc).tolist() for s, p in parts[i:j]], enc)
-        i = j
-    return out
+    assert "".join(p for p, _ in T.segments(text, limit)) == text
+    with ThreadPoolExecutor(2) as pool:
+        return T.encode_text(text, enc, pool, limit).tolist()
 
 
 @settings(max_examples=200, deadline=None)
@@ -101,6 +96,13 @@ def test_encode(spark, enc):
     assert enc.decode(enc.encode_ordinary(long)) == long
 
 
+def test_repeated_and_conflicting_rows_stay(spark, enc):
+    a, b = "Word one of a long text. " * 2_000, "z" * 40_000
+    texts = [(1, "short"), (1, "short"), (2, a), (2, a), (3, a), (3, b), (None, b)]
+    got = sorted(((r["doc_id"] or 0, tuple(r["ids"])) for r in T.encode(spark.createDataFrame(texts, "doc_id long, text string")).collect()))
+    assert got == sorted((k or 0, tuple(enc.encode_ordinary(t))) for k, t in texts)
+
+
 def lower_bound(counts, capacity):
     return -(-int((counts * np.arange(len(counts))).sum()) // capacity)
 
@@ -210,6 +212,14 @@ def test_an_edit_changes_neighbours_only():
     assert len(set(after) - set(before)) <= 8 < len(after)
 
 
+def test_long_last_sentences_are_shared_in_part():
+    text = " ".join(" ".join(f"w{i}x{j}" for j in range(90)).capitalize() + "." for i in range(30))
+    pieces = S.split_texts([text])[0]
+    assert len(pieces) > 3
+    for _, new, e, n in pieces[1:]:
+        assert 0 < (n - len(text[new:e].split())) * 4 // 3 <= S.OVERLAP
+
+
 def test_split_oversized(spark):
     big = "Sentence one is here. " * 400
     data = [(1, big, 0, "t"), (1, big, 0, "t"), (2, "short", 0, "t"), (3, None, 0, "t"), (4, " \n ", 0, "t"), (None, big, 0, "t"), (5, " ".join("x" * 488), 0, "t"), (6, "ab " * 489, 0, "t")]
