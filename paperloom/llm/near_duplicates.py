@@ -5,13 +5,18 @@ of at least 0.6, as a blocked sparse matrix product of the document by shingle i
 
 Each document's set is cut by shingle hash into CLASSES parts. For two similar sets at
 least one pair of parts is as similar as the whole (the mediant of the parts' ratios), so
-the join runs on parts, and each part needs only its prefix: of n shingles in a fixed
+the product runs on parts, and each part needs only its prefix: of n shingles in a fixed
 global order, the first ``n - ceil(0.6 n) + 1``, one of which a similar part must share.
 The order puts rare shingles first, by counts of shingle hashes over the whole corpus.
-The product is computed in blocks of shingles; within a block, pairs of parts below
-the bounds their sizes imply are discarded before anything is shuffled: by size ratio
-and by a parity bitmap, whose Hamming distance never exceeds the symmetric difference.
-Survivors are compared exactly. No step is approximate, and nothing is capped.
+
+The product is computed in blocks of shingles. A block discards pairs of parts that their
+sizes rule out, by ratio and by a parity bitmap (its Hamming distance never exceeds the
+symmetric difference), and counts the shingles that the others share. These overlap
+counts are summed over the blocks by pair and class. What two parts share at most is
+their count and the rest behind the prefix that ends first, so with sizes n and m a class adds
+at most ``8 min(n, m, count + rest) - 3 (n + m)`` to the pair's balance; a class without
+a count adds nothing. A pair whose balance is below zero can't be similar and is
+discarded. The few left are compared exactly. Nothing is approximate, nothing capped.
 """
 
 from __future__ import annotations
@@ -25,6 +30,7 @@ from pyspark.sql import functions as F
 
 from paperloom.llm import _vec as V
 from paperloom.llm.normalize import consistent_texts
+from paperloom.operators.counters import packed, tree_sum
 from paperloom.session import materialize
 
 #: similarity 0.6 = 3/5: |a & b| >= 3/8 (|a| + |b|), and |a ^ b| <= 1/4 (|a| + |b|)
@@ -35,6 +41,7 @@ CLASSES = 4
 BLOCK_POSTINGS = 2_000_000
 #: A shingle bucket with more occurrences than this is spread over several tasks.
 HOT_BUCKET = 400_000
+COUNTER_SLICES = 16
 PAIR_STEP = 1_000_000
 #: Up to so many keys, 8 bytes each, are broadcast; more are joined by shuffle.
 BROADCAST_KEYS = 1_000_000
@@ -63,10 +70,11 @@ def _bucket(gram: np.ndarray, buckets: int) -> np.ndarray:
 
 
 def _profile(df: DataFrame, buckets: int) -> DataFrame:
-    """One pass over the texts: each row's set signature, and each task's bucket counts."""
+    """One pass over the texts: each row's set signature and size, and each task's counts."""
 
     def run(batches):
         counts = np.zeros(buckets, np.uint32)
+        names = ["key", "sig", "n", "part", "task", "blob"]
         for batch in batches:
             keys, texts = (batch.column(i).to_pylist() for i in range(2))
             doc, gram = V.shingles(_normal(texts), SHINGLE)
@@ -76,37 +84,24 @@ def _profile(df: DataFrame, buckets: int) -> DataFrame:
             sizes = np.bincount(doc, minlength=len(keys))
             have = np.flatnonzero(sizes)
             sigs = _signatures(doc, gram, len(keys))[have]
-            maps = _sketches(doc, gram, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.asarray(keys, np.int64)[have]), pa.array(sigs), pa.array(sizes[have].astype(np.int32)), pa.nulls(len(have), pa.int32()), pa.array([maps[i] for i in have], pa.binary())],
-                ["key", "sig", "n", "part", "counts"],
-            )
-        step = max(1, buckets >> 4)
-        parts = [p for p in range(buckets // step) if counts[p * step : (p + 1) * step].any()]
-        if parts:
-            blobs = [np.minimum(counts[p * step : (p + 1) * step], 65535).astype("<u2").tobytes() for p in parts]
-            none = pa.nulls(len(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, pa.nulls(len(parts), pa.int32()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())], ["key", "sig", "n", "part", "counts"])
-
-    return df.mapInArrow(run, "key long, sig long, n int, part int, counts binary")
-
-
-def _order(profile: DataFrame, buckets: int) -> np.ndarray:
-    """log-scale counts by bucket, one byte each: a table of fixed size, made by summing
-    the tasks' counters part by part on the executors."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = np.zeros(max(1, buckets >> 4), np.int64)
-        for blob in table.column("counts").to_pylist():
-            total += np.frombuffer(blob, "<u2")
-        logs = np.minimum(255, np.round(8 * np.log2(1 + total))).astype(np.uint8)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "logs": pa.array([logs.tobytes()], pa.binary())})
-
-    rows = profile.where("part IS NOT NULL").select("part", "counts").groupBy("part").applyInArrow(add, "part int, logs binary").collect()
-    order, step = np.zeros(buckets, np.uint8), max(1, buckets >> 4)
-    for r in rows:
-        order[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["logs"], np.uint8)
-    return order
+            none = [pa.nulls(len(have), t) for t in (pa.int32(), pa.int64(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.asarray(keys, np.int64)[have]), pa.array(sigs), pa.array(sizes[have].astype(np.int32)), *none], names)
+        rows = packed(counts, COUNTER_SLICES)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(rows.num_rows, t) for t in (pa.int64(), pa.int64(), pa.int32())), *rows.columns], names)
+
+    return df.mapInArrow(run, "key long, sig long, n int, part int, task long, blob binary")
+
+
+def log_counts(counted: DataFrame, buckets: int) -> np.ndarray:
+    """The summed counters of counted (part, task, blob) on a log scale, one byte each."""
+    tasks = (counted.agg(F.max("task")).first()[0] or 0) + 1
+    total = tree_sum(counted, tasks, buckets, COUNTER_SLICES)
+    return np.minimum(255, np.round(8 * np.log2(1 + total.astype(np.float64)))).astype(np.uint8)
+
+
+def slices_for(logs: np.ndarray, hot: int) -> np.ndarray:
+    """Into how many slices a bucket of so many occurrences is cut."""
+    return np.clip(np.ceil((np.exp2(logs.astype(float) / 8) - 1) / hot), 1, 65535).astype(np.int64)
 
 
 def _bitmaps(doc_part: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
@@ -118,46 +113,6 @@ def _bitmaps(doc_part: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
     return maps
 
 
-def _words(n):
-    """64-bit words of the parity bitmap of a whole set of n: about four bits a shingle,
-    a power of two, between 4 and 256 words."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(n, 1) / 16)).astype(np.int64), 2, 8)
-
-
-def _sketches(doc: np.ndarray, gram: np.ndarray, sizes: np.ndarray) -> list[bytes]:
-    """Parity bitmaps of whole sets; a longer one folds to a shorter one's length."""
-    size = _words(sizes)
-    base = np.concatenate([[0], np.cumsum(size)])
-    maps = np.zeros(base[-1], np.uint64)
-    bit = V.mix(gram ^ np.uint64(0x5DEECE66D1234567)).astype(np.uint64)
-    word = ((bit >> np.uint64(6)) & (size[doc] - 1).astype(np.uint64)).astype(np.int64)
-    np.bitwise_xor.at(maps, base[doc] + word, np.uint64(1) << (bit & np.uint64(63)))
-    data = maps.tobytes()
-    return [data[8 * a : 8 * b] for a, b in zip(base[:-1], base[1:])]
-
-
-def _plausible(pairs: DataFrame) -> DataFrame:
-    """The pairs (a_sig, b_sig, a_n, b_n, a_map, b_map) whose whole bitmaps allow the
-    similarity: their distance is never more than the symmetric difference."""
-
-    def run(batches):
-        for batch in batches:
-            na, nb = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (2, 3))
-            maps_a, maps_b = batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            la, lb = (np.fromiter((len(m) // 8 for m in maps), np.int64, len(maps)) for maps in (maps_a, maps_b))
-            apart = np.zeros(len(na), np.int64)
-            for x, y in {*zip(la.tolist(), lb.tolist())}:
-                at = np.flatnonzero((la == x) & (lb == y))
-                a, b = (np.frombuffer(b"".join(maps[i] for i in at), np.uint64).reshape(len(at), -1) for maps in (maps_a, maps_b))
-                least = min(x, y)
-                a, b = (np.bitwise_xor.reduce(m.reshape(len(at), -1, least), axis=1) for m in (a, b))
-                apart[at] = np.bitwise_count(a ^ b).sum(1)
-            ok = (apart * (DENOMINATOR + NUMERATOR) <= (na + nb) * (DENOMINATOR - NUMERATOR)) & (np.minimum(na, nb) * DENOMINATOR >= np.maximum(na, nb) * NUMERATOR)
-            yield batch.select(["a_sig", "b_sig"]).filter(pa.array(ok))
-
-    return pairs.mapInArrow(run, "a_sig long, b_sig long")
-
-
 def _prefix_postings(texts: list[str], order: np.ndarray, blocks: int) -> tuple | None:
     """The prefixes of the parts of one batch of texts, equal sets once."""
     doc, gram = V.shingles(texts, SHINGLE)
@@ -182,79 +137,117 @@ def _prefix_postings(texts: list[str], order: np.ndarray, blocks: int) -> tuple
     return part, gram, rank, block, n, maps, sigs
 
 
-def _postings(df: DataFrame, order, blocks: int) -> DataFrame:
-    """Blocks' shares of the incidence matrix, packed: a row for each batch and block."""
+def pack_blocks(owner: np.ndarray, gram: np.ndarray, block: np.ndarray, slices: np.ndarray, n: np.ndarray, maps: np.ndarray, sigs: np.ndarray) -> pa.RecordBatch | None:
+    """A batch's postings as rows of the blocks' shares of the incidence, packed.
+
+    A hot bucket's occurrences are cut into slices by their set's hash. They go to the
+    tasks of all pairs of slices their own is in, and a pair of sets counts in the task
+    of its two slices alone."""
+    mine = (V.mix(sigs.view(np.uint64)[owner]) % slices.astype(np.uint64)).astype(np.int64)
+    idx = np.repeat(np.arange(len(owner)), slices)
+    other = np.arange(len(idx)) - np.repeat(np.cumsum(slices) - slices, slices)
+    lo, hi = np.minimum(mine[idx], other), np.maximum(mine[idx], other)
+    key = (block[idx] << 32) | (lo << 16) | hi
+    at = np.lexsort((owner[idx], key))
+    idx, key = idx[at], key[at]
+    edges = np.flatnonzero(np.diff(key, prepend=-1))
+    out: list[list] = [[] for _ in range(7)]
+    for a, b in zip(edges, [*edges[1:], len(key)]):
+        rows = idx[a:b]
+        own, local = np.unique(owner[rows], return_inverse=True)
+        sliced = mine[rows].astype("<u2").tobytes() if int(key[a]) & 0xFFFFFFFF or slices[rows].max() > 1 else b""
+        values = (int(key[a]), sigs[own].tobytes(), n[own].astype("<u4").tobytes(), maps[own].tobytes(), gram[rows].tobytes(), local.astype("<u2" if len(own) < 65536 else "<u4").tobytes(), sliced)
+        for column, value in zip(out, values):
+            column.append(value)
+    return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], BLOCK_COLUMNS)
+
+
+BLOCK_COLUMNS = ["block", "sigs", "sizes", "maps", "grams", "local", "mine"]
+BLOCK_SCHEMA = "block long, sigs binary, sizes binary, maps binary, grams binary, local binary, mine binary"
+PAIR_SCHEMA = "a_sig long, b_sig long, class int, common int, a_n int, b_n int"
+
 
+def _postings(df: DataFrame, order, blocks: int) -> DataFrame:
     def run(batches):
-        table = order.value
         for batch in batches:
-            found = _prefix_postings(_normal(batch.column(1).to_pylist()), table, blocks)
-            if found is None:
-                continue
-            part, gram, rank, block, n, maps, sigs = found
-            # hot buckets: both halves of a pair meet in the task of their two slices
-            count = np.exp2(rank.astype(float) / 8) - 1
-            slices = np.minimum(256, np.maximum(1, np.ceil(count / HOT_BUCKET))).astype(np.int64)
-            mine = (V.mix(sigs.view(np.uint64)[part // CLASSES]) % slices.astype(np.uint64)).astype(np.int64)
-            times = slices
-            idx = np.repeat(np.arange(len(part)), times)
-            other = np.arange(len(idx)) - np.repeat(np.cumsum(times) - times, times)
-            lo, hi = np.minimum(mine[idx], other), np.maximum(mine[idx], other)
-            key = (block[idx] << 16) | (lo << 8) | hi
-            at = np.lexsort((part[idx], key))
-            idx, key = idx[at], key[at]
-            edges = np.flatnonzero(np.diff(key, prepend=-1))
-            out: list[list] = [[], [], [], [], [], []]
-            for a, b in zip(edges, [*edges[1:], len(key)]):
-                rows = idx[a:b]
-                parts, local = np.unique(part[rows], return_inverse=True)
-                for column, value in zip(out, (int(key[a]), sigs[parts // CLASSES].tobytes(), n[parts].astype("<u4").tobytes(), maps[parts].tobytes(), gram[rows].tobytes(), local.astype("<u2" if len(parts) < 65536 else "<u4").tobytes())):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "sigs", "sizes", "maps", "grams", "local"])
-
-    return df.mapInArrow(run, "block long, sigs binary, sizes binary, maps binary, grams binary, local binary")
-
-
-def _block_product(table: pa.Table) -> pa.Table:
-    """Candidate pairs of one block."""
-    sigs, sizes, maps, grams, docs = [], [], [], [], []
-    base = 0
-    for r in table.select(["sigs", "sizes", "maps", "grams", "local"]).to_pylist():
+            found = _prefix_postings(_normal(batch.column(1).to_pylist()), order.value, blocks)
+            if found is not None:
+                part, gram, rank, block, n, maps, sigs = found
+                parts, owner = np.unique(part, return_inverse=True)
+                yield pack_blocks(owner, gram, block, slices_for(rank, HOT_BUCKET), n[parts], maps[parts], sigs[parts // CLASSES])
+
+    return df.mapInArrow(run, BLOCK_SCHEMA)
+
+
+def _unique_sums(code: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    at = np.flatnonzero(np.diff(code[order], prepend=-1))
+    return code[order][at], np.add.reduceat(counts[order], at) if len(at) else counts
+
+
+def block_product(table: pa.Table) -> pa.Table:
+    """(a_sig, b_sig, class, common, a_n, b_n): the pairs of one block that their sizes
+    allow, and how many of the block's shingles they share."""
+    sigs, sizes, maps, grams, docs, mine = [], [], [], [], [], []
+    base, sliced = 0, False
+    key = table.column("block")[0].as_py()
+    for r in table.select(BLOCK_COLUMNS[1:]).to_pylist():
         s, g = np.frombuffer(r["sigs"], np.int64), np.frombuffer(r["grams"], np.uint64)
         local = np.frombuffer(r["local"], "<u2" if len(r["local"]) == 2 * len(g) else "<u4").astype(np.int64)
         sigs.append(s), sizes.append(np.frombuffer(r["sizes"], "<u4")), maps.append(np.frombuffer(r["maps"], np.uint64).reshape(-1, 2))
         grams.append(g), docs.append(local + base)
+        mine.append(np.frombuffer(r["mine"], "<u2") if r["mine"] else np.zeros(len(g), np.uint16))
+        sliced |= bool(r["mine"])
         base += len(s)
     sig, first, inverse = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
     size, bits = np.concatenate(sizes).astype(np.int64)[first], np.concatenate(maps)[first]
-    gram, doc = np.concatenate(grams), inverse[np.concatenate(docs)]
+    gram, doc, mine = np.concatenate(grams), inverse[np.concatenate(docs)], np.concatenate(mine)
     at = np.lexsort((doc, gram))
-    gram, doc = gram[at], doc[at]
+    gram, doc, mine = gram[at], doc[at], mine[at]
     new = np.ones(len(gram), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (doc[1:] != doc[:-1])
-    gram, doc = gram[new], doc[new]
+    gram, doc, mine = gram[new], doc[new], mine[new]
     starts = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
     left = np.repeat(np.concatenate([starts[1:], [len(gram)]]), np.diff(np.concatenate([starts, [len(gram)]]))) - np.arange(len(gram)) - 1
-    found = np.empty((0, 2), np.int64)
+    lo, hi = (key >> 16) & 0xFFFF, key & 0xFFFF
+    code, counts = np.empty(0, np.int64), np.empty(0, np.int64)
     fresh: list[np.ndarray] = []
     alive, offset = np.flatnonzero(left > 0), 1
     while len(alive):
         for a in range(0, len(alive), PAIR_STEP):
-            i, j = doc[alive[a : a + PAIR_STEP]], doc[alive[a : a + PAIR_STEP] + offset]
+            i, j = alive[a : a + PAIR_STEP], alive[a : a + PAIR_STEP] + offset
+            if sliced:
+                ours = (np.minimum(mine[i], mine[j]) == lo) & (np.maximum(mine[i], mine[j]) == hi)
+                i, j = i[ours], j[ours]
+            i, j = doc[i], doc[j]
             total = size[i] + size[j]
             apart = np.bitwise_count(bits[i, 0] ^ bits[j, 0]).astype(np.int64) + np.bitwise_count(bits[i, 1] ^ bits[j, 1])
             # |a ^ b| <= (5-3)/(5+3) of the sizes' sum, and the size ratio
             ok = (apart * (DENOMINATOR + NUMERATOR) <= total * (DENOMINATOR - NUMERATOR)) & (np.minimum(size[i], size[j]) * DENOMINATOR >= np.maximum(size[i], size[j]) * NUMERATOR)
             if ok.any():
-                fresh.append(np.stack([i[ok], j[ok]], 1))
+                fresh.append(i[ok] * len(sig) + j[ok])
         if sum(map(len, fresh)) > 4 * PAIR_STEP:
-            found, fresh = np.unique(np.concatenate([found, *fresh]), axis=0), []
+            flat = np.concatenate(fresh)
+            code, counts = _unique_sums(np.concatenate([code, flat]), np.concatenate([counts, np.ones(len(flat), np.int64)]))
+            fresh = []
         offset += 1
         alive = alive[left[alive] >= offset]
     if fresh:
-        found = np.unique(np.concatenate([found, *fresh]), axis=0)
-    a, b = sig[found[:, 0]], sig[found[:, 1]]
-    return pa.table({"a_sig": pa.array(np.minimum(a, b)), "b_sig": pa.array(np.maximum(a, b))})
+        flat = np.concatenate(fresh)
+        code, counts = _unique_sums(np.concatenate([code, flat]), np.concatenate([counts, np.ones(len(flat), np.int64)]))
+    i, j = code // len(sig), code % len(sig)  # sig is sorted, so a_sig < b_sig
+    n = lambda x: pa.array(size[x].astype(np.int32))
+    return pa.table({"a_sig": pa.array(sig[i]), "b_sig": pa.array(sig[j]), "class": pa.array(np.full(len(code), (key >> 32) % CLASSES, np.int32)), "common": pa.array(counts.astype(np.int32)), "a_n": n(i), "b_n": n(j)})
+
+
+def accumulated(products: DataFrame) -> DataFrame:
+    """(a_sig, b_sig): the pairs whose overlap counts, summed over all blocks, leave their
+    balance at zero or more."""
+    parts = products.groupBy("a_sig", "b_sig", "class").agg(F.sum("common").alias("common"), F.first("a_n").alias("a_n"), F.first("b_n").alias("b_n"))
+    rest = F.ceil(F.greatest("a_n", "b_n") * NUMERATOR / DENOMINATOR) - 1
+    most = F.least(F.col("a_n"), F.col("b_n"), F.col("common") + rest)
+    balance = (DENOMINATOR + NUMERATOR) * most - NUMERATOR * (F.col("a_n") + F.col("b_n"))
+    return parts.groupBy("a_sig", "b_sig").agg(F.sum(balance).alias("balance")).where("balance >= 0").select("a_sig", "b_sig")
 
 
 def _gram_sets(df: DataFrame) -> DataFrame:
@@ -283,17 +276,14 @@ def similar_sets(records: DataFrame, key: str = "chunk_key", text: str = "text")
     rows = records.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     buckets = buckets_for(records.count())
     profile = materialize(_profile(rows, buckets), "p3-profile")
-    members = profile.where("key IS NOT NULL").select("key", "sig").distinct()
-    order = spark.sparkContext.broadcast(_order(profile, buckets))
+    members = profile.where("key IS NOT NULL").select("key", "sig", "n").distinct()
+    order = spark.sparkContext.broadcast(log_counts(profile.where("part IS NOT NULL"), buckets))
     postings = profile.where("key IS NOT NULL").agg(F.coalesce(F.sum(F.col("n") * (DENOMINATOR - NUMERATOR) / DENOMINATOR + CLASSES), F.lit(0))).first()[0]
     blocks = CLASSES * max(1, math.ceil(float(postings) / BLOCK_POSTINGS / CLASSES))
-    packed = _postings(rows, order, blocks)
-    candidates = materialize(packed.groupBy("block").applyInArrow(_block_product, "a_sig long, b_sig long").distinct(), "p3-candidates")
-    sketch = profile.where("key IS NOT NULL").groupBy("sig").agg(F.min("key").alias("key"), F.first("n").alias("n"), F.first("counts").alias("map"))
-    whole = lambda s: sketch.select(F.col("sig").alias(f"{s}_sig"), F.col("n").alias(f"{s}_n"), F.col("map").alias(f"{s}_map"))
-    sketched = candidates.join(whole("a"), "a_sig").join(whole("b"), "b_sig").select("a_sig", "b_sig", "a_n", "b_n", "a_map", "b_map")
-    candidates = materialize(_plausible(sketched), "p3-plausible")
-    wanted = materialize(sketch.select("sig", "key").join(candidates.select(F.col("a_sig").alias("sig")).union(candidates.select("b_sig")).distinct(), "sig", "left_semi").select("key"), "p3-wanted")
+    products = _postings(rows, order, blocks).groupBy("block").applyInArrow(block_product, PAIR_SCHEMA)
+    candidates = materialize(accumulated(products), "p3-candidates")
+    one = members.groupBy("sig").agg(F.min("key").alias("key"))
+    wanted = materialize(one.join(candidates.select(F.col("a_sig").alias("sig")).union(candidates.select("b_sig")).distinct(), "sig", "left_semi").select("key"), "p3-wanted")
     # the few texts to compare exactly: by broadcast of their keys up to a checked size
     keys = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
     sets = _gram_sets(rows.join(keys, "key", "left_semi")).groupBy("sig").agg(F.first("grams").alias("grams"))

@@ -2,7 +2,8 @@
 
 Minwise signatures of BANDS bands of ROWS values; sets that share any band's bucket are
 candidates, those whose sizes or parity bitmaps rule the similarity out are dropped in
-the bucket's own task, and the rest are deduplicated and compared exactly. A pair at the
+the bucket's own task, and the rest are deduplicated and compared exactly. Buckets are
+counted first, and a hot one is cut into slices, each pair of which is a task. A pair at the
 least similarity, 0.6, shares a bucket with probability 1 - (1 - 0.6**ROWS)**BANDS, that
 is 0.99976; equal sets, and nearly all pairs above it, surely. Equal sets are one set
 throughout, however many records have it.
@@ -19,7 +20,8 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.columns import consistent_entities, key_form
 from paperloom.llm import _vec as V
-from paperloom.llm.near_duplicates import BLOCK_POSTINGS, DENOMINATOR, NUMERATOR, _bitmaps, _block_product
+from paperloom.llm.near_duplicates import BLOCK_POSTINGS, BLOCK_SCHEMA, COUNTER_SLICES, DENOMINATOR, HOT_BUCKET, NUMERATOR, PAIR_SCHEMA, _bitmaps, _bucket, block_product, buckets_for, log_counts, pack_blocks, slices_for
+from paperloom.operators.counters import SCHEMA, packed
 from paperloom.session import materialize
 
 ROWS, BANDS = 4, 60
@@ -41,34 +43,43 @@ def band_buckets(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return buckets
 
 
-def _postings(sets: DataFrame, blocks: int) -> DataFrame:
+def _hashes(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures, values and offsets of a batch (sig, hashes)."""
+    column = batch.column(1)
+    offsets = column.offsets.to_numpy().astype(np.int64)
+    values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
+    return batch.column(0).to_numpy(zero_copy_only=False), values, offsets - offsets[0]
+
+
+def _counted(sets: DataFrame, buckets: int) -> DataFrame:
+    """(part, task, blob): each task's counts of the buckets of its sets (sig, hashes)."""
+
+    def run(batches):
+        counts = np.zeros(buckets, np.uint32)
+        for batch in batches:
+            if batch.num_rows:
+                _, values, offsets = _hashes(batch)
+                counts += np.bincount(_bucket(band_buckets(values, offsets).reshape(-1), buckets), minlength=buckets).astype(np.uint32)
+        yield packed(counts, COUNTER_SLICES)
+
+    return sets.mapInArrow(run, SCHEMA)
+
+
+def _postings(sets: DataFrame, blocks: int, order) -> DataFrame:
     """(sig, hashes) -> the blocks' shares of the set by bucket incidence, packed."""
 
     def run(batches):
         for batch in batches:
-            sigs = batch.column(0).to_numpy(zero_copy_only=False)
-            column = batch.column(1)
-            offsets = column.offsets.to_numpy().astype(np.int64)
-            values = column.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64)
-            offsets = offsets - offsets[0]
-            if not len(sigs):
+            if not batch.num_rows:
                 continue
+            sigs, values, offsets = _hashes(batch)
             n = np.diff(offsets)
             maps = _bitmaps(np.repeat(np.arange(len(n)), n), values, len(n))
             bucket = band_buckets(values, offsets).reshape(-1)
-            owner = np.repeat(np.arange(len(n)), BANDS)
             block = (V.mix(bucket) % np.uint64(blocks)).astype(np.int64)
-            at = np.lexsort((owner, block))
-            bucket, owner, block = bucket[at], owner[at], block[at]
-            edges = np.flatnonzero(np.diff(block, prepend=-1))
-            out: list[list] = [[], [], [], [], [], []]
-            for a, b in zip(edges, [*edges[1:], len(block)]):
-                own, local = np.unique(owner[a:b], return_inverse=True)
-                for c, v in zip(out, (int(block[a]), sigs[own].tobytes(), n[own].astype("<u4").tobytes(), maps[own].tobytes(), bucket[a:b].tobytes(), local.astype("<u2" if len(own) < 65536 else "<u4").tobytes())):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), *(pa.array(c, pa.binary()) for c in out[1:])], ["block", "sigs", "sizes", "maps", "grams", "local"])
+            yield pack_blocks(np.repeat(np.arange(len(n)), BANDS), bucket, block, slices_for(order.value[_bucket(bucket, len(order.value))], HOT_BUCKET), n, maps, sigs)
 
-    return sets.mapInArrow(run, "block long, sigs binary, sizes binary, maps binary, grams binary, local binary")
+    return sets.mapInArrow(run, BLOCK_SCHEMA)
 
 
 def tagged_sets(chunks: DataFrame) -> DataFrame:
@@ -94,7 +105,9 @@ def similar_set_pairs(members: DataFrame) -> DataFrame:
     n = sets.count()
     blocks = max(1, math.ceil(n * BANDS / BLOCK_POSTINGS))
     hashed = sets.select("sig", F.transform("values", lambda v: F.xxhash64(v)).alias("hashes"))
-    candidates = _postings(hashed, blocks).groupBy("block").applyInArrow(_block_product, "a_sig long, b_sig long").distinct()
+    buckets = buckets_for(n)
+    order = members.sparkSession.sparkContext.broadcast(log_counts(materialize(_counted(hashed, buckets), "p5-counts"), buckets))
+    candidates = _postings(hashed, blocks, order).groupBy("block").applyInArrow(block_product, PAIR_SCHEMA).select("a_sig", "b_sig").distinct()
     candidates = materialize(candidates, "p5-candidates")
     side = lambda s: sets.select(F.col("sig").alias(f"{s}_sig"), F.col("values").alias(f"{s}_values"))
     return (
@@ -121,3 +134,21 @@ def similar_tag_pairs(chunks: DataFrame) -> DataFrame:
     a, b = side("a"), side("b")
     same = a.join(b, a.a_sig == b.b_sig).where("a < b AND a_title <> b_title").select("a", "b")
     return across.union(same).select(F.least("a", "b").alias("a_key"), F.greatest("a", "b").alias("b_key"))
+
+
+def similar_tag_classes(chunks: DataFrame) -> DataFrame:
+    """(chunk_key, class_key, links): the compact form of :func:`similar_tag_pairs`. Chunks of
+    one title with the same entities are a class, named by its least key; links is the
+    number of classes of other titles whose entities are similar or the same. Chunks
+    without a class, as there, give no row."""
+    members = materialize(tagged_sets(chunks), "p5-members")
+    pairs = materialize(similar_set_pairs(members).select("a_sig", "b_sig"), "p5-pairs")
+    classes = members.groupBy("sig", "title").agg(F.min("key").alias("class_key"))
+    titles = classes.groupBy("sig").agg(F.count(F.lit(1)).alias("n"))
+    both = pairs.select(F.col("a_sig").alias("sig"), F.col("b_sig").alias("other")).union(pairs.select("b_sig", "a_sig"))
+    around = both.join(titles.select(F.col("sig").alias("other"), "n"), "other").groupBy("sig").agg(F.sum("n").alias("around"))
+    # classes of similar sets that have the same title don't count
+    own = both.join(classes.select(F.col("sig").alias("other"), "title"), "other").groupBy("sig", "title").agg(F.count(F.lit(1)).alias("own"))
+    linked = classes.join(titles, "sig").join(around, "sig", "left").join(own, ["sig", "title"], "left")
+    linked = linked.select("sig", "title", "class_key", (F.col("n") - 1 + F.coalesce("around", F.lit(0)) - F.coalesce("own", F.lit(0))).alias("links"))
+    return members.select("key", "sig", "title").join(linked, ["sig", "title"]).select(F.col("key").alias("chunk_key"), "class_key", "links")

@@ -115,17 +115,34 @@ def test_bitmaps_bound_the_difference():
         a = rng.integers(0, 2**63, n, dtype=np.uint64)
         b = np.unique(np.concatenate([a[: n - n // 4], rng.integers(0, 2**63, n // 4 + 1, dtype=np.uint64)]))
         a = np.unique(a)
-        doc = np.repeat([0, 1], [len(a), len(b)])
-        maps = [np.frombuffer(m, np.uint64) for m in N._sketches(doc, np.concatenate([a, b]), np.array([len(a), len(b)]))]
-        least = min(map(len, maps))
-        x, y = (np.bitwise_xor.reduce(m.reshape(-1, least), axis=0) for m in maps)
+        x, y = N._bitmaps(np.repeat([0, 1], [len(a), len(b)]), np.concatenate([a, b]), 2)
         assert int(np.bitwise_count(x ^ y).sum()) <= len(set(a.tolist()) ^ set(b.tolist()))
 
 
+def test_accumulated_counts_never_discard_a_similar_pair(spark):
+    """Balances of random pairs whose classes' prefixes are compared by hand."""
+    rng = random.Random(11)
+    data, similar = [], set()
+    for p in range(120):
+        universe = [(rng.random(), i) for i in range(rng.choice([6, 20, 60]))]
+        a = {x for x in universe if rng.random() < 0.85}
+        b = {x for x in universe if rng.random() < 0.85}
+        if a and b and 8 * len(a & b) >= 3 * (len(a) + len(b)):
+            similar.add(p)
+        for c in range(4):
+            x, y = (sorted(e for e in s if e[1] % 4 == c) for s in (a, b))
+            prefix = lambda s: set(s[: len(s) - -(-3 * len(s) // 5) + 1])
+            common = prefix(x) & prefix(y)
+            for k, e in enumerate(sorted(common)):  # each count from a block of its own
+                data.append((p, p, c, 1, len(x), len(y)))
+    got = {r["a_sig"] for r in N.accumulated(spark.createDataFrame(data, N.PAIR_SCHEMA)).collect()}
+    assert similar <= got and len(similar) > 20
+
+
 TAGS = "chunk_key long, entities array<string>, paper_title string, title string, values string"
 
 
-def test_set_join(spark):
+def test_set_join(spark, monkeypatch):
     rng = random.Random(2)
     names = [f"E{i}" for i in range(25)] + ["HOT1", "HOT2"]
     data = []
@@ -144,6 +161,16 @@ def test_set_join(spark):
     got = rows(J.similar_tag_pairs(spark.createDataFrame(data, TAGS)))
     assert got == sorted(want, key=repr)
     assert (900, 902) in got and (900, 901) not in got
+    monkeypatch.setattr(J, "HOT_BUCKET", 3)  # hot buckets in slices, many blocks
+    monkeypatch.setattr(J, "BLOCK_POSTINGS", 500)
+    assert rows(J.similar_tag_pairs(spark.createDataFrame(data, TAGS))) == got
+    kinds = {}
+    for k, v in seen.items():
+        kinds.setdefault((frozenset(v[0]), v[1]), []).append(k)
+    alike = lambda x, y: x[1] != y[1] and 10 * len(x[0] & y[0]) >= 6 * len(x[0] | y[0])
+    links = {min(ks): sum(alike(x, y) for y in kinds) for x, ks in kinds.items()}
+    classes = rows(J.similar_tag_classes(spark.createDataFrame(data, TAGS)))
+    assert classes == sorted(((k, min(ks), links[min(ks)]) for ks in kinds.values() for k in ks), key=repr)
     assert rows(J.similar_tag_pairs(spark.createDataFrame([], TAGS))) == []
 
 
