@@ -38,6 +38,11 @@ def p2_found(spark, d):
     return qa_defects.defects(table(spark, d, "eval_questions"))
 
 
+def p2_validation(spark, d):
+    """Precision and recall of the refusal model, on unseen phrases too."""
+    return qa_defects.refusal_validation(table(spark, d, "eval_questions"))
+
+
 def p3_found(spark, d):
     return near_duplicates.near_duplicate_pairs(table(spark, d, "chunks"))
 
@@ -88,7 +93,7 @@ def p10_validation(spark, d):
     return residue.validation(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p3_found, p3_classes, p4_found, p4_entities, p5_found, p5_classes, p8_ids, p9_containers, p9_report, p10_found, p10_clean, p10_validation)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_coverage, p2_found, p2_validation, p3_found, p3_classes, p4_found, p4_entities, p5_found, p5_classes, p8_ids, p9_containers, p9_report, p10_found, p10_clean, p10_validation)}
 
 _PLAIN = r"\t\n\r -~\x{a1}-\x{ac}\x{ae}-\x{b4}\x{b6}-\x{24f}αβγδκμΔ\x{2013}\x{2014}\x{2018}-\x{201f}\x{2026}\x{2070}-\x{2079}\x{2080}-\x{2089}\x{2264}\x{2265}"
 _GENUINE = r"[Ѐ-ԯ]*[БГДЖЗИЙЛПФЦЧШЩЪЫЬЭЮЯбвгджзийклмнптфцчшщъыьэюя]+[Ѐ-ԯ]*"
