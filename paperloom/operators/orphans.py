@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.columns import blank_to_null
 from paperloom.operators.skew import skew_safe_left_join
+from paperloom.session import materialize
 
 #: Keys are cut into blocks of 2**BLOCK_BITS values: the unit of the as-of match. A
 #: block has at most so many distinct keys, so no window partition can grow beyond it.
@@ -63,29 +64,34 @@ def orphan_references(references: DataFrame, parents: DataFrame, deletions: Data
     ``at``). A reference both deleted and late counts as deleted; with null ``at`` it can
     only be missing, with null period. Deletions of ids that never came mean nothing.
 
-    Ids the runs rule out are missing without another look; the rest, and ids that have
-    no integer form, are compared exactly. All work before the last join is on distinct
-    ids; that join is skew-safe, so one id may hold a third of all references.
+    The runs decide: an id beyond them is missing without another look at the parents. An
+    id inside a run, or without an integer form, is then compared exactly. All work before
+    the last join is on distinct ids; that join is skew-safe, so one id may hold a third of
+    all references. The references are written once, since several steps read them.
     """
-    refs = references.select("src_table", "src_key", blank_to_null(F.col("ref_id")).alias("ref_id"), "at").where(F.col("ref_id").isNotNull())
-    refs = refs.distinct()
-    ids = refs.select("ref_id").distinct().withColumn("_ord", ordinal(F.col("ref_id")))
-    known = parents.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("arrived_at").alias("arrived_at"), F.count(F.lit(1)).alias("_parents"))
+    refs = references.select("src_table", F.col("src_key").cast("long").alias("src_key"), blank_to_null(F.col("ref_id")).alias("ref_id"), "at").where(F.col("ref_id").isNotNull())
+    refs = materialize(refs.distinct(), "references")
+    ids = materialize(refs.select("ref_id").distinct().withColumn("_ord", ordinal(F.col("ref_id"))), "reference-ids")
+    known = parents.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("arrived_at").alias("arrived_at")).withColumn("_known", F.lit(True))
     runs = contiguous_runs(known.select(ordinal(F.col("id")).alias("_ord")), "_ord")
-    beyond = beyond_runs(ids, "_ord", runs)
+    beyond = beyond_runs(ids, "_ord", runs).withColumn("_beyond", F.lit(True))
+    judged = ids.join(beyond, "_ord", "left")
+    missing = judged.where("_beyond").select("ref_id", F.lit(None).alias("arrived_at"), F.lit(None).alias("deleted_at"), F.lit(False).alias("_known"))
     deleted = deletions.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("deleted_at").alias("deleted_at"))
-    within = ids.join(beyond, "_ord", "left_anti").select("ref_id")
-    status = within.join(known.withColumnRenamed("id", "ref_id"), "ref_id").join(deleted.withColumnRenamed("id", "ref_id"), "ref_id", "left")
-    found = skew_safe_left_join(refs, status.select("ref_id", "arrived_at", "deleted_at", "_parents"), "ref_id")
+    within = judged.where("_beyond IS NULL").select("ref_id").join(known.withColumnRenamed("id", "ref_id"), "ref_id", "left").join(deleted.withColumnRenamed("id", "ref_id"), "ref_id", "left")
+    status = within.select("ref_id", "arrived_at", "deleted_at", F.coalesce("_known", F.lit(False)).alias("_known"))
+    types = dict(status.dtypes)
+    status = status.unionByName(missing.select("ref_id", *[F.col(c).cast(types[c]) for c in ("arrived_at", "deleted_at")], "_known"))
+    found = skew_safe_left_join(refs, status, "ref_id")
     kind = (
-        F.when(F.col("_parents").isNull(), "missing")
+        F.when(~F.col("_known"), "missing")
         .when(F.col("deleted_at") <= F.col("at"), "deleted")
         .when(F.col("arrived_at") > F.col("at"), "late")
     )
     return (
         found.withColumn("kind", kind)
         .where(F.col("kind").isNotNull())
-        .select("src_table", F.col("src_key").cast("long").alias("src_key"), "ref_id", "kind", F.date_format("at", "yyyy-MM").alias("period"))
+        .select("src_table", "src_key", "ref_id", "kind", F.date_format("at", "yyyy-MM").alias("period"))
         .distinct()
     )
 
