@@ -12,14 +12,16 @@ from paperloom.session import materialize
 # Constants of the ranking function.
 K1, B, EPSILON = 1.5, 0.75, 0.25
 #: Tables of up to so many rows are broadcast; larger ones are joined by shuffle.
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 STOP_WORDS = """a about above after again all also an and any are as at be because been before being below between both but by can could did do does down during each few for from further had has have he her here his how i if in into is it its
  just me more most my no nor not now of off on once only or other our out over own same she should so some such than that the their them then there these they this those through to too under until up very was we were what when where which while who why will with you your""".split()
 
 
-def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if it has at most ``most`` rows; unchanged otherwise."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """df marked for broadcast if it has at most ``most`` rows and about ``most_bytes``
+    bytes, both counted; unchanged otherwise."""
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    return F.broadcast(df) if n <= most and (size or 0) <= most_bytes else df
 
 
 def blank_terms(text: Column) -> Column:

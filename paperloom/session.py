@@ -59,11 +59,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names
-    one; a temporary folder of this machine only where it is unset (tests, local mode)."""
+    one; where it is unset, a temporary folder in local mode and an error elsewhere, since
+    executors of a cluster would each write to their own disk."""
     global _own_dir
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="paperloom-")
         atexit.register(shutil.rmtree, _own_dir, ignore_errors=True)
