@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 
 class ModelMismatch(ValueError):
@@ -12,26 +13,60 @@ class ModelMismatch(ValueError):
 
 
 class Store:
-    """Tables of an index under one folder."""
-
-    TABLES = ("chunks", "vectors", "postings", "edges", "meta")
+    """Tables of an index under one folder. Each version of a table is a folder of its own, and
+    a pointer file names the one that counts. It is switched by one rename, so a reader
+    sees the old table or the new one, and a failed write leaves the old one."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
-    def write(self, name: str, df: DataFrame, mode: str = "overwrite", partition_by: list[str] | None = None) -> None:
-        writer = df.write.mode(mode)
-        (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{self.path}/{name}")
+    def _fs(self):
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, root.getFileSystem(conf), jvm.org.apache.hadoop.fs.FileContext.getFileContext(root.getFileSystem(conf).getUri(), conf)
+
+    def folder(self, name: str) -> str | None:
+        """Where the current version of a table lies; None without any."""
+        jvm, fs, _ = self._fs()
+        pointer = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_current/{name}")
+        if not fs.exists(pointer):
+            return None
+        stream = fs.open(pointer)
+        try:
+            return f"{self.path}/{jvm.org.apache.commons.io.IOUtils.toString(stream, 'UTF-8')}"
+        finally:
+            stream.close()
+
+    def _switch(self, name: str, version: str) -> None:
+        jvm, fs, context = self._fs()
+        path = jvm.org.apache.hadoop.fs.Path
+        before, fresh = self.folder(name), path(f"{self.path}/_current/.{version}")
+        stream = fs.create(fresh, True)
+        stream.write(bytearray(version.encode()))
+        stream.close()
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context.rename(fs.makeQualified(fresh), fs.makeQualified(path(f"{self.path}/_current/{name}")), options)
+        if before:
+            fs.delete(path(before), True)
+
+    def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
+        """A new version of a table; what it was made from may be the version before."""
+        version = f"{name}-{uuid.uuid4().hex}"
+        (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{self.path}/{version}")
+        self._switch(name, version)
+
+    def append(self, name: str, df: DataFrame) -> None:
+        df.write.mode("append").parquet(self.folder(name))
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        folder = self.folder(name)
+        if folder is None:
+            raise FileNotFoundError(f"{self.path} has no table {name}")
+        return self.spark.read.parquet(folder)
 
     def is_built(self, name: str = "chunks") -> bool:
-        try:
-            self.read(name)
-            return True
-        except AnalysisException:
-            return False
+        return self.folder(name) is not None
 
     def count(self, name: str = "chunks") -> int:
         return self.read(name).count()
@@ -45,10 +80,8 @@ class Store:
         return self.read(name).join(keys, column).orderBy("pos")
 
     def upsert(self, fresh: DataFrame, name: str = "chunks", column: str = "chunk_id", version: str = "version") -> None:
-        """The latest version of each key, old and new; written beside and then read."""
-        merged = latest(self.read(name).unionByName(fresh), column, version) if self.is_built(name) else latest(fresh, column, version)
-        merged.write.mode("overwrite").parquet(f"{self.path}/{name}__next")
-        self.spark.read.parquet(f"{self.path}/{name}__next").write.mode("overwrite").parquet(f"{self.path}/{name}")
+        """The latest version of each key, old and new."""
+        self.write(name, latest(self.read(name).unionByName(fresh), column, version) if self.is_built(name) else latest(fresh, column, version))
 
     def write_model(self, backend: str, model: str, dims: int) -> None:
         self.write("meta", self.spark.createDataFrame([(backend, model, dims)], "backend string, model string, dims int"))
