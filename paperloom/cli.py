@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as T
 from paperloom.operators import chunking, evaluation, graph, history, pipeline, sections, tagging
+from paperloom.operators.search import Index
 from paperloom.session import build_session, ship_package
 from paperloom.sources import documents, files
 from paperloom.sources.store import Store
@@ -49,18 +50,24 @@ def build(spark: SparkSession, folder: str, output: str, pattern: str = "*.txt",
     files.write_tag_cache(scored, f"{output}/tag_cache")
     store.write_model("tfidf", "own", 0)
     chunks = store.read("chunks")
+    for name, made in pipeline.indexes(chunks).items():
+        made.save(store, name)
     summary = chunks.agg(F.count(F.lit(1)).alias("total_chunks"), F.countDistinct("paper_title").alias("papers"), F.count_if(F.col("is_figure_chunk")).alias("figure_chunks"), F.round(F.avg("confidence"), 4).alias("mean_confidence"))
     files.write_report(summary, f"{output}/index_summary")
     return summary
 
 
+def stored_indexes(store: Store) -> dict[str, Index]:
+    return {name: Index.load(store, name, kind) for name, (_, kind) in pipeline.CHANNELS.items()}
+
+
 def ask(spark: SparkSession, output: str, questions: list[str]) -> DataFrame:
     """(query, context): the compressed context of each question."""
     store = Store(spark, output)
     store.check_model("own", 0)
     chunks = store.read("chunks")
     q = spark.createDataFrame(list(enumerate(questions)), "query long, text string")
-    results = pipeline.retrieved(chunks, q)
+    results = pipeline.retrieved(chunks, q, pipeline.channels(None, q, stored_indexes(store)))
     kept = pipeline.compress(results, chunks, q)
     return kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s")).select("query", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("context"))
 
@@ -74,7 +81,7 @@ def evaluate(spark: SparkSession, output: str, golden: str, ablation: bool = Tru
     known = judged.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi").count()
     if known * 2 < judged.count():
         raise ValueError("the golden questions are stale: under half of their chunks exist; make them anew")
-    found, ids, rows = pipeline.channels(chunks, g), chunks.select(F.col("chunk_key").alias("key"), "chunk_id"), None
+    found, ids, rows = pipeline.channels(None, g, stored_indexes(Store(spark, output))), chunks.select(F.col("chunk_key").alias("key"), "chunk_id"), None
     for name, weights in (ABLATION if ablation else {"full": ABLATION["full"]}).items():
         results = pipeline.retrieved(chunks, g, found, weights).join(ids, "key").select("query", F.col("chunk_id").alias("id"), "rank")
         mrr = evaluation.first_hits(results, judged, g).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))

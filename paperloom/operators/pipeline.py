@@ -29,9 +29,19 @@ def question_documents(c: DataFrame) -> DataFrame:
     return c.select(F.col("chunk_key").alias("key"), F.coalesce(F.nullif(F.trim("hyde_question"), F.lit("")), F.col("text")).alias("text"))
 
 
-def channels(c: DataFrame, q: DataFrame) -> dict[str, DataFrame]:
-    """The three searches' rankings (query, key, rank): texts, questions, keywords."""
-    found = {"dense": S.tfidf(text_documents(c), q), "hyde": S.tfidf(question_documents(c), q), "bm25": S.bm25(rich_documents(c), q)}
+#: The three searches: their documents, and the kind of their index.
+CHANNELS = {"dense": (text_documents, "tfidf"), "hyde": (question_documents, "tfidf"), "bm25": (rich_documents, "bm25")}
+
+
+def indexes(c: DataFrame) -> dict[str, S.Index]:
+    """The indexes of texts, questions and keywords."""
+    return {name: S.make_index(documents(c), kind) for name, (documents, kind) in CHANNELS.items()}
+
+
+def channels(c: DataFrame | None, q: DataFrame, made: dict[str, S.Index] | None = None) -> dict[str, DataFrame]:
+    """The three searches' rankings (query, key, rank): texts, questions, keywords; by
+    indexes made before, or of c."""
+    found = {name: S.find(index, q) for name, index in (made or indexes(c)).items()}
     rows = None
     for name, df in found.items():
         part = df.select(F.lit(name).alias("channel"), "query", "key", "rank")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -35,52 +37,109 @@ def word_terms(text: Column) -> Column:
     return F.filter(terms, lambda t: ~t.isin(STOP_WORDS))
 
 
-def postings(documents: DataFrame, terms: Column) -> DataFrame:
-    """(key, term, tf) of documents (key, ...)."""
-    return documents.select("key", F.explode(terms).alias("term")).groupBy("key", "term").agg(F.count(F.lit(1)).alias("tf"))
-
-
 def top_k(scored: DataFrame, k: int, *order: Column) -> DataFrame:
     """The first k rows of each query; Spark limits groups before the shuffle."""
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(*order)))
     return ranked.where(F.col("rank") <= k)
 
 
-def bm25(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
-    """(query, key, rank, score): the k best documents (key, text) of each query (query,
-    text), ties by the larger key. A query with fewer matches is filled up with documents
-    of score 0, so each gets k while there are so many. Repeated query words count again;
-    a term in over half of the documents gets a quarter of the mean idf."""
-    index = materialize(postings(documents, blank_terms(F.col("text"))), "terms")  # four steps read it
-    terms = bounded_broadcast(postings(queries.select(F.col("query").alias("key"), "text"), blank_terms(F.col("text"))).select(F.col("key").alias("query"), "term", F.col("tf").alias("qtf")))
-    sizes = index.groupBy("key").agg(F.sum("tf").alias("dl"))
-    totals = documents.agg(F.count(F.lit(1)).alias("n")).crossJoin(index.agg(F.sum("tf").alias("total"))).select("n", (F.col("total") / F.col("n")).alias("avgdl"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(totals))
-    raw = df.select("term", "avgdl", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    idf = raw.join(terms.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "avgdl", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    hits = index.join(terms, "term").join(bounded_broadcast(idf), "term").join(sizes, "key")
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.groupBy("query", "key").agg(F.round(F.sum(part), 9).alias("score"))
-    last = documents.select("key").orderBy(F.desc("key")).limit(2 * k)  # enough to fill any query
+def postings(documents: DataFrame, terms: Column) -> DataFrame:
+    """(key, term, tf, dl) of documents (key, ...): dl is a document's number of terms."""
+    rows = documents.select("key", terms.alias("terms"))
+    return rows.select("key", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("key", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+#: Folders of a stored index, by a hash of the term: a search reads those of its terms.
+INDEX_BUCKETS = 64
+
+
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+@dataclass
+class Index:
+    """A keyword index over documents: postings (bucket, term, key, w), the terms' weights
+    (bucket, term, idf) and the documents' keys. Texts are tokenized once, when it is
+    made; kind is 'bm25' or 'tfidf', and w all that a posting adds to a score."""
+
+    kind: str
+    postings: DataFrame
+    terms: DataFrame
+    keys: DataFrame
+
+    TABLES = ("postings", "terms", "keys")
+
+    def save(self, store, name: str) -> None:
+        for t in self.TABLES:
+            store.write(f"{name}_{t}", getattr(self, t), partition_by=["bucket"] if t == "postings" else None)
+
+    @classmethod
+    def load(cls, store, name: str, kind: str) -> "Index":
+        return cls(kind, *(store.read(f"{name}_{t}") for t in cls.TABLES))
+
+
+def _idf(rows: DataFrame, n: int, kind: str) -> DataFrame:
+    """(bucket, term, idf). BM25: a term in over half of the documents gets a quarter of the
+    mean idf; TF-IDF: the smooth one."""
+    df = rows.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    if kind == "tfidf":
+        return df.select(_bucket(F.col("term")).alias("bucket"), "term", (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf"))
+    raw = df.select("term", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
+    return raw.crossJoin(mean).select(_bucket(F.col("term")).alias("bucket"), "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
+def make_index(documents: DataFrame, kind: str) -> Index:
+    """The index of documents (key, text), written to the shared folder."""
+    rows = materialize(postings(documents, (blank_terms if kind == "bm25" else word_terms)(F.col("text"))), "terms")
+    keys = materialize(documents.select("key"), "index-keys")
+    n = keys.count()
+    terms = materialize(_idf(rows, n, kind), "index-terms")
+    weighted = rows.join(bounded_broadcast(terms), "term")
+    if kind == "bm25":
+        mean = (rows.agg(F.sum("tf")).first()[0] or 0) / max(1, n)
+        w = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean)) if mean else F.lit(0.0)
+    else:
+        norms = weighted.groupBy("key").agg(F.sqrt(F.sum((F.col("tf") * F.col("idf")) ** 2)).alias("norm"))
+        weighted, w = weighted.join(norms, "key"), F.col("tf") * F.col("idf") / F.col("norm")
+    return Index(kind, materialize(weighted.select("bucket", "term", "key", w.alias("w")), "index-postings", "bucket"), terms, keys)
+
+
+def find(index: Index, queries: DataFrame, k: int = 40) -> DataFrame:
+    """(query, key, rank, score): the k best documents of each query (query, text).
+
+    BM25: ties by the larger key; a query with fewer matches is filled up with documents
+    of score 0, so each gets k while there are so many; repeated query words count again.
+    TF-IDF: cosine, ties by the smaller key; documents without a common term aren't ranked."""
+    bm25 = index.kind == "bm25"
+    asked = postings(queries.select(F.col("query").alias("key"), "text"), (blank_terms if bm25 else word_terms)(F.col("text")))
+    asked = asked.select(_bucket(F.col("term")).alias("bucket"), "term", F.col("key").alias("query"), F.col("tf").alias("qtf"))
+    if bm25:
+        asked = asked.withColumn("qw", F.col("qtf").cast("double"))
+    else:
+        asked = materialize(asked.join(index.terms, ["bucket", "term"]).select("bucket", "term", "query", (F.col("qtf") * F.col("idf")).alias("qw")), "asked")
+        norms = asked.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm"))
+        asked = asked.join(norms, "query").select("bucket", "term", "query", (F.col("qw") / F.col("qnorm")).alias("qw"))
+    hits = index.postings.join(bounded_broadcast(asked), ["bucket", "term"])
+    scored = hits.groupBy("query", "key").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
+    if not bm25:
+        return top_k(scored, k, F.desc("score"), "key")
+    scored = materialize(top_k(scored, k, F.desc("score"), F.desc("key")).drop("rank"), "scored")
+    last = index.keys.orderBy(F.desc("key")).limit(2 * k)  # enough to fill any query
     few = queries.select("query").join(scored.groupBy("query").agg(F.count(F.lit(1)).alias("c")), "query", "left").where(F.coalesce("c", F.lit(0)) < k).select("query")
     fill = few.crossJoin(F.broadcast(last)).join(scored, ["query", "key"], "left_anti").withColumn("score", F.lit(0.0))
     return top_k(scored.unionByName(fill), k, F.desc("score"), F.desc("key"))
 
 
+def bm25(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
+    """(query, key, rank, score) of documents (key, text), by an index made for these queries."""
+    return find(make_index(documents, "bm25"), queries, k)
+
+
 def tfidf(documents: DataFrame, queries: DataFrame, k: int = 40) -> DataFrame:
-    """(query, key, rank, score): cosine of TF-IDF vectors with smooth idf, the offline
-    text embedding; documents that share no term with a query are not ranked."""
-    index = materialize(postings(documents, word_terms(F.col("text"))), "terms")  # four steps read it
-    n = documents.agg(F.count(F.lit(1)).alias("n"))
-    idf = index.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    weighted = index.join(idf, "term").select("key", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    norms = weighted.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = postings(queries.select(F.col("query").alias("key"), "text"), word_terms(F.col("text"))).join(idf, "term").select(F.col("key").alias("query"), "term", (F.col("tf") * F.col("idf")).alias("qw"))
-    asked = asked.join(asked.groupBy("query").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")), "query")
-    hits = weighted.join(bounded_broadcast(asked), "term").groupBy("query", "key", "qnorm").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
-    scored = hits.join(norms, "key").select("query", "key", F.round(F.col("dot") / (F.col("norm") * F.col("qnorm")), 9).alias("score"))
-    return top_k(scored, k, F.desc("score"), "key")
+    """(query, key, rank, score): cosine of TF-IDF vectors, the offline text embedding."""
+    return find(make_index(documents, "tfidf"), queries, k)
 
 
 QUERY_BLOCK = 4096

@@ -26,16 +26,36 @@ def _named(df, column="question_id"):
     return df.withColumnsRenamed({"query": column, "key": "chunk_key"})
 
 
+_made: dict[tuple[str, str, str], S.Index] = {}
+
+
+def index(spark, d, name):
+    """The index of one of the searches over all chunks, made once a session."""
+    at = (spark.sparkContext.applicationId, d, name)
+    if at not in _made:
+        documents, kind = L.CHANNELS[name]
+        _made[at] = S.make_index(documents(one_chunk(spark, d)), kind)
+    return _made[at]
+
+
+def channels(spark, d, q):
+    return L.channels(None, q, {name: index(spark, d, name) for name in L.CHANNELS})
+
+
+def _topk(spark, d, name):
+    return _named(S.find(index(spark, d, name), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+
+
 def bm25_topk(spark, d):
-    return _named(S.bm25(L.rich_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _topk(spark, d, "bm25")
 
 
 def tfidf_topk(spark, d):
-    return _named(S.tfidf(L.text_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _topk(spark, d, "dense")
 
 
 def hyde_topk(spark, d):
-    return _named(S.tfidf(L.question_documents(one_chunk(spark, d)), questions(spark, d), 40)).select("question_id", "chunk_key", "rank", F.round("score", 6).alias("score"))
+    return _topk(spark, d, "hyde")
 
 
 def lsa_topk(spark, d):
@@ -54,38 +74,40 @@ def ablation_gains(spark, d):
 
 
 def rrf_fusion(spark, d):
-    return _named(R.fuse(L.channels(one_chunk(spark, d), questions(spark, d)))).select("question_id", "chunk_key", F.round("score", 9).alias("score"), F.round("norm_score", 6).alias("norm_score"), "sources")
+    return _named(R.fuse(channels(spark, d, questions(spark, d)))).select("question_id", "chunk_key", F.round("score", 9).alias("score"), F.round("norm_score", 6).alias("norm_score"), "sources")
 
 
 def rescored(spark, d):
     """Fused candidates with their metadata boosts, like its SQL without the graph walk's."""
-    rows = L.candidates(one_chunk(spark, d), questions(spark, d), graph=False)
+    q = questions(spark, d)
+    rows = L.candidates(one_chunk(spark, d), q, channels(spark, d, q), graph=False)
     return _named(rows).select("question_id", "chunk_key", F.round("final", 6).alias("final"))
 
 
 def retrieve_hybrid(spark, d):
     """The flagship: three searches, fusion, graph walk, rescoring, near-duplicate removal,
     cutoff and reranking for all questions of the query set in one plan."""
-    return _named(L.retrieved(one_chunk(spark, d), questions(spark, d))).select("question_id", "rank", "chunk_key", F.round("norm_score", 6).alias("score"), "sources")
+    q = questions(spark, d)
+    return _named(L.retrieved(one_chunk(spark, d), q, channels(spark, d, q))).select("question_id", "rank", "chunk_key", F.round("norm_score", 6).alias("score"), "sources")
 
 
 def dedup_greedy(spark, d):
     """The candidates of the searches and the graph walk without near-duplicates."""
-    c = one_chunk(spark, d)
-    ranked = materialize(L.ranked_candidates(L.candidates(c, questions(spark, d))), "ranked")
+    c, q = one_chunk(spark, d), questions(spark, d)
+    ranked = materialize(L.ranked_candidates(L.candidates(c, q, channels(spark, d, q))), "ranked")
     kept = R.greedy_dedup(ranked.select("query", "key", "rank"), L.similar_candidates(ranked, c))
     return _named(kept).select("question_id", "chunk_key", "rank")
 
 
 def dynamic_cutoff(spark, d):
-    ranked = S.bm25(L.rich_documents(one_chunk(spark, d)), questions(spark, d), 40)
+    ranked = S.find(index(spark, d, "bm25"), questions(spark, d), 40)
     return _named(R.dynamic_cutoff(ranked, "score")).select("question_id", "n_keep")
 
 
 def compress_context(spark, d):
     """Sentences of the retrieved chunks that fit 400 tokens."""
     c, q = one_chunk(spark, d), questions(spark, d)
-    return L.compress(L.retrieved(c, q), c, q).withColumnRenamed("query", "question_id")
+    return L.compress(L.retrieved(c, q, channels(spark, d, q)), c, q).withColumnRenamed("query", "question_id")
 
 
 def redundancy(spark, d):
@@ -93,7 +115,7 @@ def redundancy(spark, d):
     is divisible by 100 against all; its mean and the number above 0.92."""
     c = one_chunk(spark, d, "text")
     asked = c.where("chunk_key % 100 = 0").select(F.col("chunk_key").alias("query"), "text")
-    near = S.tfidf(L.text_documents(c), asked, 2).where("key <> query").groupBy("query").agg(F.max("score").alias("s"))
+    near = S.find(index(spark, d, "dense"), asked, 2).where("key <> query").groupBy("query").agg(F.max("score").alias("s"))
     return near.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 4).alias("mean_redundancy"), F.count_if(F.col("s") > 0.92).alias("n_above"))
 
 
@@ -173,7 +195,7 @@ def entity_statistics(spark, d):
 def _results(spark, d):
     """BM25 results with their chunk ids and papers, as evaluation input."""
     c = one_chunk(spark, d)
-    found = S.bm25(L.rich_documents(c), questions(spark, d), 40)
+    found = S.find(index(spark, d, "bm25"), questions(spark, d), 40)
     return found.join(c.select(F.col("chunk_key").alias("key"), "chunk_id", "paper_title"), "key")
 
 
@@ -215,7 +237,7 @@ ABLATION = [
 def ablation_grid(spark, d):
     """Mean metrics at 5 of each configuration; the searches run once for all of them."""
     c, q = one_chunk(spark, d), questions(spark, d)
-    found = L.channels(c, q)
+    found = channels(spark, d, q)
     ids = one_chunk(spark, d, "chunk_id").select(F.col("chunk_key").alias("key"), "chunk_id")
     judged = E.relevant(q, "relevant_chunk_ids", "id")
     rows = None

@@ -73,15 +73,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_own_dir}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df to the shared folder and read it back.
+def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Cut the lineage: write df to the shared folder, in folders by a column if one is
+    named, and read it back.
 
     The table survives the loss of executors, is columnar and compressed, and its size
     is known to the planner afterwards.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.repartition(partition_by).write.partitionBy(partition_by) if partition_by else df.write).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
