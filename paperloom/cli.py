@@ -10,10 +10,12 @@ from __future__ import annotations
 
 import argparse
 import sys
+from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.config import Settings, load
 from paperloom.functions import text as T
 from paperloom.operators import chunking, evaluation, graph, history, pipeline, sections, tagging
 from paperloom.operators.search import Index
@@ -24,7 +26,7 @@ from paperloom.sources.store import Store
 ABLATION = {"bm25_only": {"dense": 0.0, "hyde": 0.0, "bm25": 1.0}, "dense_only": {"dense": 0.27, "hyde": 0.18, "bm25": 0.0}, "full": {"dense": 0.27, "hyde": 0.18, "bm25": 0.35}}
 
 
-def build(spark: SparkSession, folder: str, output: str, pattern: str = "*.txt", extractor=documents.plain_text_lines) -> DataFrame:
+def build(spark: SparkSession, folder: str, output: str, pattern: str = "*.txt", extractor=documents.plain_text_lines, settings: Settings = Settings()) -> DataFrame:
     """Files -> lines -> sections -> chunks -> tags -> confidence -> agreement -> store."""
     ship_package(spark)
     store = Store(spark, output)
@@ -32,8 +34,9 @@ def build(spark: SparkSession, folder: str, output: str, pattern: str = "*.txt",
     lines = sections.reading_order(sections.with_headers(sections.usable_lines(lines)))
     stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
     titles = lines.select("doc_id", stem.alias("stem")).distinct().join(sections.title_of(lines), "doc_id", "left").select("doc_id", F.coalesce("title", "stem").alias("paper_title"))
-    found = sections.line_sections(lines).join(titles, "doc_id").withColumn("section_id", F.xxhash64("doc_id", "section_no")).withColumnRenamed("doc_id", "paper_id")
-    made = chunking.chunk_sections(found).join(titles.withColumnRenamed("doc_id", "paper_id"), "paper_id").withColumn("chunk_key", F.xxhash64("chunk_id"))
+    found = sections.line_sections(lines, references=settings.chunking.include_references, captions=settings.chunking.include_captions).join(titles, "doc_id").withColumn("section_id", F.xxhash64("doc_id", "section_no")).withColumnRenamed("doc_id", "paper_id")
+    rules = settings.chunking
+    made = chunking.chunk_sections(found, rules.include_references, rules.include_captions, rules.min_tokens, rules.max_tokens, rules.overlap_tokens, rules.semantic_split_threshold).join(titles.withColumnRenamed("doc_id", "paper_id"), "paper_id").withColumn("chunk_key", F.xxhash64("chunk_id"))
     tagged = tagging.tag(made, files.read_tag_cache(spark, f"{output}/tag_cache"))
     scored = tagged.withColumn("confidence", T.confidence(F.col("text"), F.col("section"), F.col("token_count"), F.col("entities")))
     store.write("scored", scored)
@@ -61,18 +64,18 @@ def stored_indexes(store: Store) -> dict[str, Index]:
     return {name: Index.load(store, name, kind) for name, (_, kind) in pipeline.CHANNELS.items()}
 
 
-def ask(spark: SparkSession, output: str, questions: list[str]) -> DataFrame:
+def ask(spark: SparkSession, output: str, questions: list[str], settings: Settings = Settings()) -> DataFrame:
     """(query, context): the compressed context of each question."""
     store = Store(spark, output)
     store.check_model("own", 0)
     chunks = store.read("chunks")
     q = spark.createDataFrame(list(enumerate(questions)), "query long, text string")
-    results = pipeline.retrieved(chunks, q, pipeline.channels(None, q, stored_indexes(store)))
-    kept = pipeline.compress(results, chunks, q)
+    results = pipeline.retrieved(chunks, q, pipeline.channels(None, q, stored_indexes(store)), settings.retrieval.weights(), cutoff=settings.retrieval.cutoff())
+    kept = pipeline.compress(results, chunks, q, settings.target_tokens)
     return kept.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence"))).alias("s")).select("query", F.array_join(F.transform("s", lambda x: x["sentence"]), " ").alias("context"))
 
 
-def evaluate(spark: SparkSession, output: str, golden: str, ablation: bool = True) -> DataFrame:
+def evaluate(spark: SparkSession, output: str, golden: str, ablation: bool = True, k_values: tuple = evaluation.K_VALUES) -> DataFrame:
     """(config, k, recall, precision, ndcg, mrr) of the golden questions; stops when under
     half of their chunks exist."""
     chunks = Store(spark, output).read("chunks")
@@ -85,7 +88,7 @@ def evaluate(spark: SparkSession, output: str, golden: str, ablation: bool = Tru
     for name, weights in (ABLATION if ablation else {"full": ABLATION["full"]}).items():
         results = pipeline.retrieved(chunks, g, found, weights).join(ids, "key").select("query", F.col("chunk_id").alias("id"), "rank")
         mrr = evaluation.first_hits(results, judged, g).agg(F.round(F.avg("reciprocal_rank"), 6).alias("mrr"))
-        part = evaluation.at_k(results, judged, g).groupBy("k").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("recall", "precision", "ndcg", "ndcg_retrieved")]).crossJoin(F.broadcast(mrr)).withColumn("config", F.lit(name))
+        part = evaluation.at_k(results, judged, g, k_values).groupBy("k").agg(*[F.round(F.avg(m), 6).alias(m) for m in ("recall", "precision", "ndcg", "ndcg_retrieved")]).crossJoin(F.broadcast(mrr)).withColumn("config", F.lit(name))
         rows = part if rows is None else rows.unionByName(part)
     files.write_report(rows, f"{output}/eval_report")
     return rows
@@ -101,6 +104,26 @@ def golden(spark: SparkSession, output: str, to: str, n: int = 30, seed: str = "
     return rows
 
 
+def session(spark: SparkSession, output: str, lines: Iterable[str], settings: Settings = Settings(), call: Callable[[str], str] | None = None) -> Iterator[str]:
+    """The answers of one session: a question a line, until quit; clear forgets the turns.
+    ``call`` answers a prompt of context, last messages and question; without a model the
+    context itself is the answer."""
+    turns: list[tuple[str, str]] = []
+    for line in map(str.strip, lines):
+        if line.lower() in ("quit", "exit", "q"):
+            return
+        if line.lower() == "clear":
+            turns.clear()
+            yield "History cleared."
+        elif line:
+            row = ask(spark, output, [line], settings).first()
+            context = row["context"] if row else ""
+            before = [f"{r['role']}: {r['text']}" for r in session_prompt(turns, spark).orderBy("turn").collect()] if turns else []  # six at most
+            reply = call("\n\n".join([context, *before, f"user: {line}"])) if call else context
+            turns += [("user", line), ("assistant", reply)]
+            yield reply
+
+
 def session_prompt(turns: list[tuple[str, str]], spark: SparkSession) -> DataFrame:
     """The last messages of one session, as context of the next question."""
     rows = [(0, i, role, text) for i, (role, text) in enumerate(turns)]
@@ -110,30 +133,29 @@ def session_prompt(turns: list[tuple[str, str]], spark: SparkSession) -> DataFra
 def main(argv: list[str] | None = None) -> None:
     parser = argparse.ArgumentParser(prog="paperloom", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     parser.add_argument("command", choices=["build", "query", "evaluate", "golden"])
-    parser.add_argument("--documents", default="./pdfs")
-    parser.add_argument("--output", default="./output")
+    parser.add_argument("--documents")
+    parser.add_argument("--output")
     parser.add_argument("--query")
     parser.add_argument("--golden", default="golden_qa.json")
     parser.add_argument("--to", default="golden_qa.json")
     parser.add_argument("--n", type=int, default=30)
     parser.add_argument("--no-ablation", action="store_true")
+    parser.add_argument("--config")
     a = parser.parse_args(argv)
+    settings = load(a.config)
+    a.documents, a.output = a.documents or settings.pdf_dir, a.output or settings.output_dir
     spark = SparkSession.getActiveSession() or build_session()
     if a.command == "build":
-        build(spark, a.documents, a.output).show(truncate=False)
+        build(spark, a.documents, a.output, settings=settings).show(truncate=False)
     elif a.command == "evaluate":
-        evaluate(spark, a.output, a.golden, not a.no_ablation).show(100, truncate=False)
+        evaluate(spark, a.output, a.golden, not a.no_ablation, tuple(settings.k_values)).show(100, truncate=False)
     elif a.command == "golden":
         golden(spark, a.output, a.to, a.n).show(truncate=60)
     elif a.query:
-        print(ask(spark, a.output, [a.query]).first()["context"])
+        print(ask(spark, a.output, [a.query], settings).first()["context"])
     else:  # a session: one question a line, until quit
-        for line in sys.stdin:
-            if line.strip().lower() in ("quit", "exit", "q"):
-                break
-            if line.strip():
-                row = ask(spark, a.output, [line.strip()]).first()
-                print(row["context"] if row else "")
+        for reply in session(spark, a.output, sys.stdin, settings):
+            print(reply)
 
 
 if __name__ == "__main__":

@@ -7,43 +7,44 @@ import os
 from dataclasses import dataclass, field, fields, is_dataclass
 from typing import Any
 
+from paperloom.operators import chunking, retrieval
+from paperloom.operators.evaluation import K_VALUES
 
+
+# Names and defaults of the settings file's entries that something reads.
 @dataclass
 class Chunking:
-    min_tokens: int = 80
-    max_tokens: int = 650
-    overlap_tokens: int = 50
-    semantic_split_threshold: float = 0.35
+    min_tokens: int = chunking.MIN_TOKENS
+    max_tokens: int = chunking.MAX_TOKENS
+    overlap_tokens: int = chunking.OVERLAP_TOKENS
+    semantic_split_threshold: float = chunking.BREAK_THRESHOLD
     include_references: bool = False
     include_captions: bool = True
 
 
 @dataclass
 class Retrieval:
-    score_threshold: float = 0.50
-    min_dip_rate: float = 0.15
-    min_k: int = 3
-    max_k: int = 15
-    candidates: int = 40
+    score_threshold: float = retrieval.THRESHOLD
+    min_dip_rate: float = retrieval.MIN_DIP
+    min_k: int = retrieval.MIN_K
+    max_k: int = retrieval.MAX_K
     bm25_weight: float = 0.35
     dense_weight: float = 0.45
-    graph_weight: float = 0.20
-    rrf_k: int = 60
-    graph_walk_depth: int = 2
-    graph_walk_max_nodes: int = 4
-    theme_boost: float = 1.25
-    contradiction_penalty: float = 0.85
-    ce_weight: float = 0.70
+
+    def weights(self) -> dict[str, float]:
+        """Fusion weights: texts and questions share the dense one 6 to 4."""
+        return {"dense": 0.6 * self.dense_weight, "hyde": 0.4 * self.dense_weight, "bm25": self.bm25_weight}
+
+    def cutoff(self) -> dict:
+        return {"max_k": self.max_k, "min_k": self.min_k, "threshold": self.score_threshold, "min_dip": self.min_dip_rate}
 
 
 @dataclass
 class Settings:
     pdf_dir: str = "./pdfs"
     output_dir: str = "./output"
-    log_level: str = "INFO"
     target_tokens: int = 400
-    tpm_limit: int = 6000
-    k_values: tuple = (1, 3, 5, 10)
+    k_values: tuple = K_VALUES
     chunking: Chunking = field(default_factory=Chunking)
     retrieval: Retrieval = field(default_factory=Retrieval)
 
@@ -70,7 +71,7 @@ def load(path: str | None = None) -> Settings:
 
             values = yaml.safe_load(raw)
         _apply(settings, values)
-    for name in ("pdf_dir", "output_dir", "log_level"):
+    for name in ("pdf_dir", "output_dir"):
         if value := os.environ.get(name.upper()):
             setattr(settings, name, value)
     return settings

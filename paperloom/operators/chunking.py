@@ -92,7 +92,7 @@ def pack(parts: list[str], breaks: set[int], least: int = MIN_TOKENS, most: int
     return out
 
 
-def chunk_sections(sections: DataFrame, references: bool = False) -> DataFrame:
+def chunk_sections(sections: DataFrame, references: bool = False, captions: bool = True, least: int = MIN_TOKENS, most: int = MAX_TOKENS, overlap: int = OVERLAP_TOKENS, threshold: float = BREAK_THRESHOLD) -> DataFrame:
     """(paper_id, chunk_index, chunk_id, section, is_figure_chunk, figure_id, page_start,
     token_count, text): the chunks of sections (section_id, paper_id, section_no, name, text,
     ...). Whole texts are read. Blank sections and, unless wanted, references give none; a
@@ -108,10 +108,10 @@ def chunk_sections(sections: DataFrame, references: bool = False) -> DataFrame:
             source, texts, places = [], [], []
             for i, (text, caption) in enumerate(zip(batch.column("text").to_pylist(), batch.column("is_caption").to_pylist())):
                 if caption:
-                    found = [text] if tokens(text) >= MIN_TOKENS else []
+                    found = [text] if captions and tokens(text) >= least else []
                 else:
                     parts = sentences(text)
-                    found = pack(parts, break_points(parts))
+                    found = pack(parts, break_points(parts, threshold), least, most, overlap)
                 for k, chunk in enumerate(found):
                     source.append(i), texts.append(chunk), places.append(k)
             kept = batch.take(pa.array(source, pa.int32())).drop_columns(["text"])

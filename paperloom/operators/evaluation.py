@@ -45,3 +45,20 @@ def cross_recall(papers: DataFrame, judged: DataFrame, queries: DataFrame) -> Da
     0 without relevant papers."""
     found = judged.join(papers.distinct().withColumn("hit", F.lit(1)), ["query", "paper"], "left").groupBy("query").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r"))
     return queries.select("query").join(found, "query", "left").select("query", F.round(F.coalesce("r", F.lit(0.0)), 6).alias("cross_paper_recall"))
+
+
+def means(per_question: DataFrame, hits: DataFrame, results: DataFrame, queries: DataFrame) -> DataFrame:
+    """(difficulty, k, n_questions, mean_returned, recall, precision, ndcg, mrr): means of the
+    questions' metrics (at_k, first_hits) and of the number of their results, over all
+    questions ('all') and by difficulty, trimmed and lower-cased, '' for null."""
+    kind = F.lower(F.trim(F.coalesce("difficulty", F.lit(""))))
+    kinds = queries.select("query", F.explode(F.array(F.lit("all"), kind)).alias("difficulty"))
+    returned = results.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    rows = per_question.join(hits.select("query", "reciprocal_rank"), "query").join(returned, "query", "left").join(kinds, "query")
+    mean = lambda c: F.round(F.avg(c) + 1e-9, 5)
+    return rows.groupBy("difficulty", "k").agg(
+        F.count(F.lit(1)).alias("n_questions"),
+        mean(F.coalesce("n", F.lit(0))).alias("mean_returned"),
+        *[mean(F.col(m)).alias(m) for m in ("recall", "precision", "ndcg")],
+        mean(F.col("reciprocal_rank")).alias("mrr"),
+    )

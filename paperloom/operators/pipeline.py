@@ -80,27 +80,49 @@ def ranked_candidates(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("final"), F.desc("key"))))
 
 
-def retrieved(c: DataFrame, q: DataFrame, found=None, weights=R.WEIGHTS, graph=True, reranked=True) -> DataFrame:
+def retrieved(c: DataFrame, q: DataFrame, found=None, weights=R.WEIGHTS, graph=True, reranked=True, cutoff: dict | None = None) -> DataFrame:
     """(query, key, rank, norm_score, sources): the whole pipeline's results."""
     ranked = materialize(ranked_candidates(candidates(c, q, found, weights, graph)), "ranked")
     kept = R.greedy_dedup(ranked.select("query", "key", "rank"), similar_candidates(ranked, c))
     kept = materialize(kept.join(ranked.select("query", "key", "final", "sources"), ["query", "key"]), "kept")
-    n = R.dynamic_cutoff(kept)
+    n = R.dynamic_cutoff(kept, **(cutoff or {}))
     top = F.max("final").over(Window.partitionBy("query"))
     results = kept.withColumn("norm_score", F.when(top > 0, F.col("final") / top).otherwise(0.0)).join(n, "query").where("rank <= n_keep").select("query", "key", "rank", "norm_score", "sources")
     return R.rerank(results, R.lexical_pair_scores(results, q, c)) if reranked else results
 
 
+#: Terms of one question's sentences that are weighed, the most frequent first.
+SENTENCE_TERMS = 2_000
+
+
+def sentence_scores(each: DataFrame, q: DataFrame) -> DataFrame:
+    """(query, pos, score): TF-IDF cosine of each sentence (query, pos, sentence) with its
+    question (query, text), fitted on that question and its sentences alone."""
+    texts = each.select("query", "pos", F.col("sentence").alias("text")).unionByName(q.select("query", F.lit(0).alias("pos"), "text").join(each.select("query").distinct(), "query", "left_semi"))
+    tf = materialize(texts.select("query", "pos", F.explode(S.word_terms(F.col("text"))).alias("term")).groupBy("query", "pos", "term").agg(F.count(F.lit(1)).alias("tf")), "sentence-terms")
+    n = texts.groupBy("query").agg(F.count(F.lit(1)).alias("n"))
+    terms = tf.groupBy("query", "term").agg(F.sum("tf").alias("total"), F.count(F.lit(1)).alias("df"))
+    first = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("total"), "term"))
+    idf = terms.withColumn("r", first).where(F.col("r") <= SENTENCE_TERMS).join(n, "query").select("query", "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+    w = tf.join(idf, ["query", "term"]).select("query", "pos", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    norm = w.groupBy("query", "pos").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    w = materialize(w.join(norm, ["query", "pos"]).select("query", "pos", "term", (F.col("w") / F.col("norm")).alias("w")), "sentence-weights")
+    asked = w.where("pos = 0").select("query", "term", F.col("w").alias("qw"))
+    return w.where("pos > 0").join(asked, ["query", "term"]).groupBy("query", "pos").agg(F.round(F.sum(F.col("w") * F.col("qw")), 9).alias("score"))
+
+
 def compress(results: DataFrame, c: DataFrame, q: DataFrame, budget: int = 400) -> DataFrame:
-    """(query, pos, n_tokens, sentence): the sentences of the results that fit the budget,
-    best first by the question's words, in their order; a context within it stays whole."""
+    """(query, pos, n_tokens, sentence): the sentences of the results that fit the budget, best
+    first by their TF-IDF cosine with the question, in their order; a context within it
+    stays whole."""
     results = materialize(results, "results")
-    texts = results.join(c.select(F.col("chunk_key").alias("key"), "text"), "key").join(q.select("query", F.col("text").alias("question")), "query")
-    each = texts.select("query", "rank", "question", F.posexplode(T.split_sentences(F.col("text"))).alias("no", "sentence"))
+    texts = results.join(c.select(F.col("chunk_key").alias("key"), "text"), "key")
+    each = texts.select("query", "rank", F.posexplode(T.split_sentences(F.col("text"))).alias("no", "sentence"))
     each = each.withColumn("pos", F.row_number().over(Window.partitionBy("query").orderBy("rank", "no"))).withColumn("n_tokens", T.token_estimate(F.col("sentence")))
-    asked = T.query_tokens(F.col("question"))
-    each = materialize(each.withColumn("score", F.round(F.size(F.array_intersect(asked, T.query_tokens(F.col("sentence")))) / F.greatest(F.size(asked), F.lit(1)), 9)), "sentences")
+    each = materialize(each.select("query", "pos", "n_tokens", "sentence"), "sentences")
     rows = each.join(each.groupBy("query").agg(F.sum("n_tokens").alias("total")), "query")
-    filled = R.budget_fill(rows.where(F.col("total") > budget).select("query", "pos", "score", "n_tokens"), budget)
+    long = rows.where(F.col("total") > budget)
+    scored = long.join(sentence_scores(long, q), ["query", "pos"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    filled = R.budget_fill(scored.select("query", "pos", "score", "n_tokens"), budget)
     kept = rows.where(F.col("total") <= budget).select("query", "pos").unionByName(filled)
     return kept.join(each, ["query", "pos"]).select("query", "pos", "n_tokens", "sentence")

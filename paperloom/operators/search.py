@@ -22,7 +22,12 @@ STOP_WORDS = """a about above after again all also an and any are as at be becau
 def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """df marked for broadcast if it has at most ``most`` rows and about ``most_bytes``
     bytes, both counted; unchanged otherwise."""
-    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        simple = kind == "string" or not kind.startswith(("array", "map", "struct", "binary"))
+        part = F.octet_length(name) if kind == "string" else F.lit(8) if simple else F.octet_length(F.to_json(F.struct(name)))
+        width = width + F.coalesce(part, F.lit(0)) + 8
+    n, size = df.limit(most + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
     return F.broadcast(df) if n <= most and (size or 0) <= most_bytes else df
 
 

@@ -210,6 +210,14 @@ def eval_mrr(spark, d):
     return _named(E.first_hits(_results(spark, d).select("query", F.col("chunk_id").alias("id"), "rank"), E.relevant(q, "relevant_chunk_ids", "id"), q))
 
 
+def eval_means(spark, d):
+    """Means of the metrics by difficulty and over all questions."""
+    q = questions(spark, d)
+    judged = E.relevant(q, "relevant_chunk_ids", "id")
+    found = _results(spark, d).select("query", F.col("chunk_id").alias("id"), "rank")
+    return E.means(E.at_k(found, judged, q), E.first_hits(found, judged, q), found, q)
+
+
 def eval_cross_paper(spark, d):
     q = questions(spark, d)
     papers = _results(spark, d).where("rank <= 10 AND paper_title IS NOT NULL").select("query", F.col("paper_title").alias("paper"))
@@ -250,7 +258,7 @@ def ablation_grid(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, redundancy, knn_cosine, ann_recall, knn_per_label, entity_edges, entity_members, theme_edges, consensus_pairs, consensus_members, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
+    for f in (bm25_topk, tfidf_topk, hyde_topk, lsa_topk, rrf_fusion, rescored, retrieve_hybrid, dedup_greedy, dynamic_cutoff, compress_context, redundancy, knn_cosine, ann_recall, knn_per_label, entity_edges, entity_members, theme_edges, consensus_pairs, consensus_members, graph_walk_2hop, entity_statistics, eval_at_k, eval_mrr, eval_means, eval_cross_paper, golden_match, ablation_grid, ablation_gains)
 }
 
 # ---- the same rows in SQL ----
@@ -346,3 +354,9 @@ r AS (SELECT jp.question_id, avg(CASE WHEN got.paper IS NULL THEN 0 ELSE 1 END)
 SELECT question_id, round(coalesce(r, 0), 6) AS cross_paper_recall FROM q LEFT JOIN r USING (question_id)""",
     "golden_match": f"WITH {ONE}, g AS (SELECT question_id, any_value(relevant_chunk_ids) AS ids FROM eval_questions GROUP BY 1), refs AS (SELECT DISTINCT question_id, trim(i) AS id FROM (SELECT question_id, unnest(ids) AS i FROM g) WHERE trim(i) <> '') SELECT count(*) AS n_refs, CAST(count(chunk_id) AS BIGINT) AS n_known, CAST(floor(100 * count(chunk_id) / greatest(count(*), 1)) AS BIGINT) AS percent FROM refs LEFT JOIN one ON chunk_id = id",
 }
+
+SQL["eval_means"] = f"""WITH m AS ({SQL["eval_at_k"]}), h AS ({SQL["eval_mrr"]}),
+b AS (SELECT question_id, count(*) AS n FROM (WITH {ONE}, {_Q}, {_BM25} SELECT question_id, chunk_key FROM bm25) GROUP BY 1),
+d AS (SELECT question_id, unnest(['all', lower(trim(coalesce(difficulty, '')))]) AS difficulty FROM (SELECT question_id, any_value(difficulty) AS difficulty FROM eval_questions WHERE question_id % 100 = 0 GROUP BY 1))
+SELECT difficulty, k, count(*) AS n_questions, round(avg(coalesce(n, 0)) + 1e-9, 5) AS mean_returned, round(avg(recall) + 1e-9, 5) AS recall, round(avg(precision) + 1e-9, 5) AS precision, round(avg(ndcg) + 1e-9, 5) AS ndcg, round(avg(reciprocal_rank) + 1e-9, 5) AS mrr
+FROM m JOIN h USING (question_id) LEFT JOIN b USING (question_id) JOIN d USING (question_id) GROUP BY 1, 2"""

@@ -1,6 +1,6 @@
 """From text files to answers and metrics, end to end."""
 
-from paperloom import cli
+from paperloom import cli, config
 from paperloom.sources import providers
 from tests.conftest import rows
 
@@ -16,6 +16,12 @@ def test_build_ask_evaluate(spark, tmp_path):
     assert summary["papers"] == 3 and summary["total_chunks"] == 6
     context = cli.ask(spark, out, ["What about membrane fusion in yeast?"]).first()["context"]
     assert "membrane fusion" in context
+    prompts = []
+    lines = ["What about zinc transport?", "", "And axon guidance?", "clear", "Again?", "quit", "never asked"]
+    replies = list(cli.session(spark, out, lines, call=lambda p: prompts.append(p) or f"answer {len(prompts)}"))
+    assert replies == ["answer 1", "answer 2", "History cleared.", "answer 3"]
+    assert "user: What about zinc transport?\n\nassistant: answer 1\n\nuser: And axon guidance?" in prompts[1] and "answer" not in prompts[2]
+    assert len(context.split()) > 40 > len(cli.ask(spark, out, ["What about membrane fusion in yeast?"], config.Settings(target_tokens=30)).first()["context"].split())
     assert cli.golden(spark, out, f"{out}/golden", 4).count() == 4
     report = cli.evaluate(spark, out, f"{out}/golden", ablation=False)
     assert rows(report.select("config", "k").distinct())[0] == ("full", 1) and report.count() == 4

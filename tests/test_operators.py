@@ -1,11 +1,14 @@
 """Operators on hand-made inputs with results worked out by hand."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from paperloom import config
 from paperloom.functions import text as T
-from paperloom.operators import chunking, evaluation, graph, history, retrieval, search, sections, tagging
+from paperloom.operators import chunking, evaluation, graph, history, pipeline, retrieval, search, sections, tagging
 from paperloom.operators.sections import Line, fold_lines
 from paperloom.sources import documents, files, store
 from paperloom.streaming import budget
@@ -312,3 +315,28 @@ def test_lsa_keeps_distinct_terms_and_dims(spark, monkeypatch):
     monkeypatch.setattr(lsa, "FEATURES", 3)
     texts = spark.createDataFrame([("zeta eta",), ("zeta eta",), ("beta alpha",)], "text string")
     assert lsa.vocabulary(texts)[0] == {"eta": 0, "zeta": 1, "zeta eta": 2}
+
+
+def test_sentences_are_scored_by_cosine(spark):
+    sentences = ["Zinc moves through the membrane.", "The membrane holds.", "Nothing here fits at all.", "Zinc zinc zinc."]
+    each = spark.createDataFrame([(q, i + 1, s) for q in (1, 2) for i, s in enumerate(sentences)], "query int, pos int, sentence string")
+    q = spark.createDataFrame([(1, "How does zinc cross a membrane?"), (2, "the of and"), (3, "unused")], "query int, text string")
+    got = {(r["query"], r["pos"]): r["score"] for r in pipeline.sentence_scores(each, q).collect()}
+    terms = lambda t: [w for w in re.findall(r"\w{2,}", t.lower()) if w not in search.STOP_WORDS]
+    docs = [terms(t) for t in ["How does zinc cross a membrane?", *sentences]]
+    idf = {w: math.log(6 / (1 + sum(w in d for d in docs))) + 1 for d in docs for w in d}
+    vectors = [{w: d.count(w) * idf[w] for w in d} for d in docs]
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    want = {(1, i): round(sum(x * vectors[0].get(w, 0) for w, x in v.items()) / norm(v) / norm(vectors[0]), 9) for i, v in enumerate(vectors) if i and v.keys() & vectors[0].keys()}
+    assert got == pytest.approx(want) and len(want) == 3
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    s = store.Store(spark, str(tmp_path / "index"))
+    s.write("chunks", spark.range(3))
+    with pytest.raises(Exception):
+        s.write("chunks", spark.range(5).select(F.raise_error(F.lit("no")).alias("id")))
+    assert s.count() == 3
+    s.write("chunks", s.read("chunks").where("id > 0"))
+    s.append("chunks", spark.range(10, 12))
+    assert s.count() == 4 and not s.is_built("other")
