@@ -193,7 +193,7 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                         out[0].extend([q] * len(best)), out[1].extend(keys[best]), out[2].extend(row[best])
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query", "key", "score"])
 
-        parts.append(vectors.select(F.col("key").cast("long"), "vector").where("vector IS NOT NULL").mapInArrow(run, "query long, key long, score double"))
+        parts.append(vectors.select(F.col("key").cast("long"), "vector").where("key IS NOT NULL AND vector IS NOT NULL").mapInArrow(run, "query long, key long, score double"))
     if not parts:
         return spark.createDataFrame([], "query long, key long, score double, rank int")
     scored = parts[0]
@@ -202,50 +202,109 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     return top_k(scored, k, F.desc("score"), "key")
 
 
-#: Vectors the centroids are fitted on, at most.
-FIT_ROWS = 20_000
+#: Vectors the centroids are fitted on, at most; queries the number of probes is tuned on,
+#: and the recall they must reach.
+FIT_ROWS, TUNE_QUERIES, TUNE_RECALL = 20_000, 200, 0.95
 
 
-def fit_centroids(vectors: DataFrame, lists: int, seed: int = 42, rounds: int = 12) -> np.ndarray:
-    """k-means centroids of a bounded sample, chosen by a hash of the keys."""
+def _unit(vectors) -> np.ndarray:
+    x = np.array(vectors, np.float64) if len(vectors) else np.empty((0, 1))
+    return x / np.maximum(1e-30, np.linalg.norm(x, axis=1, keepdims=True))
+
+
+def fit_sample(vectors: DataFrame) -> np.ndarray:
+    """At most FIT_ROWS unit vectors, chosen by a hash of the keys."""
     vectors = vectors.where("key IS NOT NULL AND vector IS NOT NULL")
     share = min(1.0, FIT_ROWS / max(1, vectors.count()))
-    rows = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1_000_000)) < int(1_000_000 * share)).orderBy("key").limit(FIT_ROWS).collect()
-    x = np.array([r["vector"] for r in rows], np.float64)
-    x /= np.maximum(1e-30, np.linalg.norm(x, axis=1, keepdims=True))
+    chosen = vectors.where(F.pmod(F.xxhash64("key"), F.lit(1 << 52)) < F.lit(int(np.ceil(share * (1 << 52)))))
+    return _unit([r["vector"] for r in chosen.orderBy("key").limit(FIT_ROWS).collect()])
+
+
+def fit_centroids(x: np.ndarray, lists: int, seed: int = 42, rounds: int = 12) -> np.ndarray:
+    """k-means centroids of unit vectors."""
     centres = x[np.random.default_rng(seed).permutation(len(x))[:lists]].copy()
     for _ in range(rounds):
         near = np.argmax(x @ centres.T, axis=1)
-        for c in range(len(centres)):
-            if (near == c).any():
-                centres[c] = x[near == c].mean(0)
+        for c in np.unique(near):
+            centres[c] = x[near == c].mean(0)
         centres /= np.maximum(1e-30, np.linalg.norm(centres, axis=1, keepdims=True))
     return centres
 
 
-def ann(vectors: DataFrame, queries: DataFrame, k: int = 10, lists: int = 16, probes: int = 10) -> DataFrame:
-    """(query, key, rank, score): nearest vectors within the ``probes`` closest lists of an
-    inverted-file index. Every vector is indexed; only the centroids see a sample."""
-    centres = vectors.sparkSession.sparkContext.broadcast(fit_centroids(vectors, lists))
+def tune_probes(x: np.ndarray, centres: np.ndarray, k: int, target: float = TUNE_RECALL, seed: int = 43) -> int:
+    """The least number of lists in which the sample's own nearest neighbours are found."""
+    asked = x[np.random.default_rng(seed).permutation(len(x))[:TUNE_QUERIES]]
+    near = np.argmax(x @ centres.T, axis=1)
+    exact = near[np.argsort(-(asked @ x.T), axis=1)[:, : k + 1]]
+    place = np.argsort(np.argsort(-(asked @ centres.T), axis=1), axis=1)  # of each list, by closeness
+    at = np.take_along_axis(place, exact, axis=1)
+    for probes in range(1, len(centres) + 1):
+        if (at < probes).mean() >= target:
+            return probes
+    return len(centres)
 
-    def assign(most: int):
-        def run(batches):
+
+@dataclass
+class VectorIndex:
+    """An inverted-file index: rows (key, vector, list), stored in folders by list, the lists'
+    centroids, and how many lists a search looks into."""
+
+    rows: DataFrame
+    centres: np.ndarray
+    probes: int
+
+
+def vector_index(vectors: DataFrame, k: int = 10, lists: int | None = None) -> VectorIndex:
+    """The index of vectors (key, vector): every vector is in it, only the centroids and the
+    number of probes see a bounded sample. There are sqrt(n) lists, as many as the sample
+    has vectors at most."""
+    n = vectors.where("key IS NOT NULL AND vector IS NOT NULL").count()
+    x = fit_sample(vectors)
+    centres = fit_centroids(x, min(len(x), lists or max(1, round(n**0.5)))) if len(x) else np.zeros((0, 1))
+    known = vectors.sparkSession.sparkContext.broadcast(centres)
+
+    def assign(batches):
+        for batch in batches:
+            near = np.argmax(_unit(batch.column(1).to_pylist()) @ known.value.T, axis=1) if batch.num_rows else np.empty(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32))], ["key", "vector", "list"])
+
+    rows = vectors.select(F.col("key").cast("long").alias("key"), F.col("vector").cast("array<float>").alias("vector")).where("key IS NOT NULL AND vector IS NOT NULL")
+    return VectorIndex(materialize(rows.mapInArrow(assign, "key long, vector array<float>, list int"), "vectors", "list"), centres, tune_probes(x, centres, k) if len(x) else 1)
+
+
+def ann(index: VectorIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """(query, key, rank, score): nearest vectors within the closest lists of an index; queries
+    go out in blocks, and each list's vectors meet its queries in one matrix product."""
+    spark = queries.sparkSession
+    parts = None
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK)) if len(index.centres) else 0
+    for b in range(blocks):
+        asked = queries.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).select("query", "vector").where("vector IS NOT NULL").collect()
+        if not asked:
+            continue
+        ids, matrix = np.array([r["query"] for r in asked], np.int64), _unit([r["vector"] for r in asked])
+        near = np.argsort(-(matrix @ index.centres.T), axis=1)[:, : index.probes]
+        block = spark.sparkContext.broadcast((ids, matrix, {int(c): np.flatnonzero((near == c).any(1)) for c in np.unique(near)}))
+
+        def run(batches, block=block):
+            ids, matrix, wanted = block.value
             for batch in batches:
-                x = np.stack([np.asarray(v, np.float64) for v in batch.column(1).to_pylist()]) if batch.num_rows else np.empty((0, centres.value.shape[1]))
-                near = np.argsort(-(x @ centres.value.T), axis=1)[:, :most]
-                at = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(near.reshape(-1).astype(np.int32))], ["id", "vector", "list"])
-
-        return run
-
-    schema = "id long, vector array<float>, list int"
-    index = vectors.select(F.col("key").cast("long").alias("id"), F.col("vector").cast("array<float>")).where("vector IS NOT NULL").mapInArrow(assign(1), schema)
-    asked = queries.select(F.col("query").cast("long").alias("id"), F.col("vector").cast("array<float>")).mapInArrow(assign(probes), schema)
-    asked = asked.select(F.col("id").alias("query"), F.col("vector").alias("asked"), "list")
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, v: acc + v)
-    pairs = index.join(bounded_broadcast(asked, 50_000), "list")
-    scored = pairs.select("query", F.col("id").alias("key"), F.round(dot("vector", "asked") / F.sqrt(dot("vector", "vector") * dot("asked", "asked")), 9).alias("score"))
-    return top_k(scored, k, F.desc("score"), "key")
+                keys, lists = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 2))
+                x = _unit(batch.column(1).to_pylist()) if len(keys) else np.empty((0, 1))
+                out = [], [], []
+                for c in np.unique(lists):
+                    mine, some = np.flatnonzero(lists == c), wanted.get(int(c), ())
+                    for a in range(0, len(some), 128):  # the product stays small
+                        for q, row in zip(some[a : a + 128], np.round(matrix[some[a : a + 128]] @ x[mine].T, 9)):
+                            best = _best(keys[mine], row, k)
+                            out[0].extend([ids[q]] * len(best)), out[1].extend(keys[mine][best]), out[2].extend(row[best])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.float64()))], ["query", "key", "score"])
+
+        part = index.rows.where(F.col("list").isin([int(c) for c in np.unique(near)])).select("key", "vector", "list").mapInArrow(run, "query long, key long, score double")
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return spark.createDataFrame([], "query long, key long, score double, rank int")
+    return top_k(parts, k, F.desc("score"), "key")
 
 
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:

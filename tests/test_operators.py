@@ -3,6 +3,7 @@
 import math
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,7 +145,7 @@ def test_knn_and_index(spark):
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     for i in range(5):
         assert [r["key"] for r in exact.where(F.col("query") == i).orderBy("rank").collect()] == list(np.argsort(-(x @ x[i]))[:5])
-    assert search.recall(search.ann(df, q, 5), exact).first()["recall"] >= 0.9
+    assert search.recall(search.ann(search.vector_index(df, 5), q, 5), exact).first()["recall"] >= 0.9
 
 
 def test_metrics(spark):
@@ -340,3 +341,16 @@ def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
     s.write("chunks", s.read("chunks").where("id > 0"))
     s.append("chunks", spark.range(10, 12))
     assert s.count() == 4 and not s.is_built("other")
+
+
+def test_clustered_vectors_need_few_lists(spark):
+    rng = np.random.default_rng(0)
+    centres = rng.normal(size=(20, 16))
+    data = [(i, (centres[i % 20] + 0.1 * rng.normal(size=16)).tolist()) for i in range(2_000)] + [(9_000, None), (None, [1.0] * 16)]
+    df = spark.createDataFrame(data, "key long, vector array<double>")
+    index = search.vector_index(df, 5)
+    q = df.where("key % 100 = 0").withColumnRenamed("key", "query")
+    assert len(index.centres) == 45 and index.probes <= 5 and index.rows.count() == 2_000
+    assert search.recall(search.ann(index, q, 5), search.knn(df, q.where("vector IS NOT NULL"), 5)).first()["recall"] >= 0.9
+    empty = df.where("key < 0")
+    assert rows(search.ann(search.vector_index(empty), q.where("vector IS NOT NULL"), 5)) == [] and rows(search.ann(index, empty.withColumnRenamed("key", "query"), 5)) == []
