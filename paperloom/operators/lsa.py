@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.operators.counters import SCHEMA, packed, tree_sum
 from paperloom.operators.search import STOP_WORDS
 
 FEATURES, DIMS, EXTRA, SEED = 30_000, 256, 10, 42
@@ -75,27 +76,6 @@ def weighted(texts: list[str | None], known: dict[str, int], idf: np.ndarray) ->
     return row, feature, (w / np.maximum(1e-30, norm[row])).astype(np.float32)
 
 
-def _sum(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of the tasks' matrices, slice by slice on the executors."""
-
-    def add(table: pa.Table) -> pa.Table:
-        total = 0
-        for b in table.column("blob"):
-            total = total + np.frombuffer(b.as_py(), np.float32).astype(np.float64)
-        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "blob": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-    out = np.zeros(shape, np.float32)
-    slices = np.array_split(out.reshape(-1), SLICES)
-    for r in parts.groupBy("part").applyInArrow(add, "part int, blob binary").toLocalIterator():
-        slices[r["part"]][:] = np.frombuffer(r["blob"], np.float32)
-    return out
-
-
-def _sliced(total: np.ndarray):
-    for i, p in enumerate(np.array_split(total.reshape(-1), SLICES)):
-        yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([p.astype(np.float32).tobytes()], pa.binary())], ["part", "blob"])
-
-
 class Model:
     def __init__(self, known: dict[str, int], idf: np.ndarray, basis: np.ndarray):
         self.known, self.idf, self.basis = known, idf, basis
@@ -123,7 +103,8 @@ def fit(documents: DataFrame, dims: int = DIMS) -> Model:
     known, df = vocabulary(texts)
     idf = np.log((1 + n) / (1 + df)) + 1
     basis = np.random.default_rng(SEED).standard_normal((len(df), min(len(df), dims + EXTRA)), np.float32)
-    few = texts.coalesce(max(1, min(n // TASK, spark.sparkContext.defaultParallelism)))  # every task sends a matrix
+    tasks = max(1, min(n // TASK, spark.sparkContext.defaultParallelism))
+    few = texts.coalesce(tasks)  # every task sends a matrix
     for _ in range(2):  # power iteration: basis <- A'A basis, orthonormal
         model = spark.sparkContext.broadcast(Model(known, idf, np.linalg.qr(basis)[0]))
 
@@ -135,9 +116,9 @@ def fit(documents: DataFrame, dims: int = DIMS) -> Model:
                     row, feature, w, y = model.value.projected(texts[a : a + BLOCK])
                     at, sums = _grouped(feature, w[:, None] * y[row])
                     total[at] += sums
-            yield from _sliced(total)
+            yield packed(total, SLICES, "f4")
 
-        basis = _sum(few.mapInArrow(project, "part int, blob binary"), basis.shape)
+        basis = tree_sum(few.mapInArrow(project, SCHEMA), tasks, basis.size, SLICES, "f4").reshape(basis.shape)
         model.destroy()
     u, _, _ = np.linalg.svd(basis, full_matrices=False)
     return Model(known, idf, np.ascontiguousarray(u[:, :dims]))

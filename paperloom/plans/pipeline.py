@@ -34,9 +34,11 @@ def section_headers(spark, d):
 
 
 def tagged_chunks(spark, d):
-    """Tags from the cache of chunks with a theme, rules for the others."""
+    """Tags from the cache of chunks with a theme, rules for the others. A fifth of the cache is
+    of older texts, a fifth stands in it twice."""
     c = one_chunk(spark, d)
-    cache = c.where("trim(theme) <> ''").select("chunk_id", F.md5(F.coalesce("text", F.lit(""))).alias("text_md5"), *tagging.TAG_COLUMNS, F.lit("model").alias("tag_source"))
+    cache = c.where("trim(theme) <> ''").select("chunk_id", F.md5(F.when(F.col("chunk_key") % 5 == 0, "older").otherwise(F.coalesce("text", F.lit("")))).alias("text_md5"), *tagging.TAG_COLUMNS, F.lit("model").alias("tag_source"))
+    cache = cache.unionByName(cache.join(c.where("chunk_key % 5 = 1").select("chunk_id"), "chunk_id", "left_semi"))
     return tagging.tag(c, cache).groupBy("tag_source", F.coalesce("chunk_type", F.lit("other")).alias("chunk_type")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -116,8 +118,9 @@ def _folder(spark, d, name):
 
 
 def last_messages(spark, d):
-    """The last six events of each user, as messages of a conversation."""
-    e = table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.col("event_type").alias("role"), F.col("props").alias("text"))
+    """The last six events of each user, as messages of a conversation; every ninth stands for
+    a system message, which is none of them."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("conv_id"), F.col("event_id").alias("turn"), F.when(F.col("event_id") % 9 == 0, "system").otherwise(F.col("event_type")).alias("role"), F.col("props").alias("text"))
     return history.last_messages(e).select("conv_id", "turn", "role")
 
 
@@ -142,7 +145,7 @@ _FALLBACK_TYPE = "CASE " + " ".join(f"WHEN contains(lower(coalesce(section, ''))
 _N = "trim(coalesce(name, ''))"
 SQL = {
     "section_headers": f"SELECT section_id, regexp_matches({_N}, '{sections.KNOWN}') AS is_known, regexp_matches({_N}, '{sections.REFERENCES}') AS is_reference, regexp_matches({_N}, '{sections.NOISE}') AS is_noise, regexp_extract(coalesce(text, ''), '{sections.CAPTION}', 1) AS caption_id FROM (SELECT section_id, any_value(name) AS name, any_value(text) AS text FROM sections GROUP BY 1)",
-    "tagged_chunks": f"WITH {ONE}, t AS (SELECT CASE WHEN trim(coalesce(theme, '')) <> '' THEN 'model' ELSE 'fallback' END AS tag_source, CASE WHEN trim(coalesce(theme, '')) <> '' THEN coalesce(chunk_type, 'other') ELSE {_FALLBACK_TYPE} END AS chunk_type FROM one) SELECT tag_source, chunk_type, count(*) AS n FROM t GROUP BY 1, 2",
+    "tagged_chunks": f"WITH {ONE}, t AS (SELECT CASE WHEN trim(coalesce(theme, '')) <> '' AND chunk_key % 5 <> 0 THEN 'model' ELSE 'fallback' END AS tag_source, CASE WHEN trim(coalesce(theme, '')) <> '' AND chunk_key % 5 <> 0 THEN coalesce(chunk_type, 'other') ELSE {_FALLBACK_TYPE} END AS chunk_type FROM one) SELECT tag_source, chunk_type, count(*) AS n FROM t GROUP BY 1, 2",
     "upsert_latest": "SELECT chunk_key, any_value(chunk_id) AS chunk_id, max(ingested_at) AS ingested_at, count(*) AS n_deliveries FROM chunks GROUP BY chunk_key",
     "multi_key_lookup": f"WITH {ONE}, g AS (SELECT question_id, any_value(relevant_chunk_ids) AS ids FROM eval_questions GROUP BY 1), r AS (SELECT question_id, CAST(generate_subscripts(ids, 1) - 1 AS INTEGER) AS pos, unnest(ids) AS chunk_id FROM g) SELECT question_id, pos, chunk_id, chunk_key FROM r JOIN one USING (chunk_id)",
     "build_summary": f"WITH {ONE} SELECT count(*) AS total_chunks, CAST(count_if(coalesce(is_figure_chunk, false)) AS BIGINT) AS figure_chunks, CAST(count_if(NOT coalesce(is_figure_chunk, false)) AS BIGINT) AS body_chunks, count(DISTINCT paper_title) AS papers, CAST(sum(len(coalesce(conflict_chunk_ids, []))) AS BIGINT) AS conflicts FROM one",
@@ -151,7 +154,7 @@ SQL = {
     "cross_paper_members": f"WITH {ONE}, c AS (SELECT DISTINCT chunk_key, paper_id, lower(e) AS entity FROM (SELECT chunk_key, paper_id, unnest(entities) AS e FROM one) WHERE length(e) > 2), b AS (SELECT entity, paper_id, arg_min(chunk_key, md5(entity || '|' || chunk_key)) AS chunk_key FROM c GROUP BY 1, 2) SELECT entity, paper_id, chunk_key FROM b WHERE entity IN (SELECT entity FROM b GROUP BY entity HAVING count(DISTINCT paper_id) > 1)",
     "token_budget_window": "SELECT event_id, round(sum(value) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 59999999 MICROSECONDS PRECEDING AND CURRENT ROW) + 1e-9, 4) AS trailing FROM events WHERE ts IS NOT NULL",
     "token_budget_stream": "SELECT date_trunc('minute', ts) AS window_start, event_type, count(*) AS n, round(sum(value) + 1e-9, 4) AS total FROM events GROUP BY 1, 2",
-    "last_messages": "SELECT user_id AS conv_id, event_id AS turn, event_type AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events) WHERE n <= 6",
+    "last_messages": "SELECT user_id AS conv_id, event_id AS turn, event_type AS role FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS n FROM events WHERE event_id % 9 <> 0) WHERE n <= 6",
     "difficulty_counts": "SELECT lower(trim(coalesce(difficulty, ''))) AS difficulty, count(*) AS n FROM (SELECT question_id, any_value(difficulty) AS difficulty FROM eval_questions GROUP BY 1) GROUP BY 1",
     "relevant_papers": "WITH g AS (SELECT question_id, any_value(relevant_papers) AS papers FROM eval_questions GROUP BY 1), p AS (SELECT DISTINCT question_id, trim(p) AS paper FROM (SELECT question_id, unnest(papers) AS p FROM g) WHERE trim(p) <> ''), n AS (SELECT question_id, count(*) AS n_papers FROM p GROUP BY 1) SELECT n_papers, count(*) AS n_questions FROM n GROUP BY 1",
 }

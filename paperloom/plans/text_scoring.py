@@ -64,6 +64,9 @@ def figure_questions(spark, d):
 
 def json_tags(spark, d):
     e = table(spark, d, "events").withColumn("raw", F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```")))
+    # as answers come: some are cut off, some have words around them
+    part = F.pmod("event_id", F.lit(7))
+    e = e.withColumn("raw", F.when(part == 0, F.expr("left(raw, length(raw) - 5)")).when(part == 1, F.concat(F.lit("Here you are: "), F.col("props"), F.lit(" as asked."))).otherwise(F.col("raw")))
     return e.select("event_id", F.coalesce(T.lenient_json(F.col("raw"), "k bigint")["k"], F.lit(-1)).alias("k"), F.to_json(F.struct("event_id", "event_type")).alias("as_json"))
 
 
@@ -100,9 +103,10 @@ def chunk_type_counts(spark, d):
 
 
 def cache_hit_miss(spark, d):
-    """Chunks against the tag cache: those with a theme are cached, keyed by id and text."""
+    """Chunks against the tag cache, keyed by id and text: those with a theme are cached, a
+    fifth of them with another text than they have now."""
     c = one_chunk(spark, d, "text", "theme").withColumn("text_md5", F.md5(F.coalesce("text", F.lit(""))))
-    cache = c.where(F.trim(F.coalesce("theme", F.lit(""))) != "").select("chunk_key", "text_md5", F.lit(True).alias("hit"))
+    cache = c.where(F.trim(F.coalesce("theme", F.lit(""))) != "").select("chunk_key", F.when(F.col("chunk_key") % 5 == 0, F.md5(F.lit("older"))).otherwise(F.col("text_md5")).alias("text_md5"), F.lit(True).alias("hit"))
     return c.join(cache, ["chunk_key", "text_md5"], "left").groupBy(F.coalesce("hit", F.lit(False)).alias("cached")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -135,9 +139,9 @@ SQL = {
     "chunk_ids": f"WITH {ONE} SELECT chunk_key, replace(substring(coalesce(paper_title, ''), 1, 30) || '_' || substring(coalesce(section, ''), 1, 20) || '_' || chunk_index, ' ', '_') AS built_id FROM one",
     "sentence_counts": f"WITH {ONE} SELECT chunk_key, coalesce(len(list_filter(regexp_split_to_array(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '')), 0) AS n_sentences, length(trim(regexp_replace(coalesce(text, ''), '\\s+', ' ', 'g'))) AS n_chars FROM one",
     "figure_questions": f"SELECT question_id, coalesce(regexp_matches(lower(question), '{'|'.join(T.FIGURE_WORDS)}'), false) AS is_figure, coalesce(len(list_distinct(list_filter(regexp_split_to_array(lower(question), '\\s+'), lambda x: x <> ''))), 0) AS n_tokens FROM (SELECT question_id, any_value(question) AS question FROM eval_questions GROUP BY question_id)",
-    "json_tags": "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) AS k, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS as_json FROM events",
+    "json_tags": "SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -1 ELSE coalesce(CAST(json_extract(props, '$.k') AS BIGINT), -1) END AS k, '{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}' AS as_json FROM events",
     "section_histogram": f"WITH {ONE} SELECT substring(coalesce(section, ''), 1, 30) AS section, count(*) AS n FROM one GROUP BY 1 ORDER BY n DESC, section LIMIT 10",
     "corpus_quality": f"WITH {ONE} SELECT count(*) AS n_chunks, CAST(count_if(coalesce(is_figure_chunk, false)) AS BIGINT) AS n_figure, count(DISTINCT paper_title) AS n_papers, round(avg(token_count), 4) AS mean_tokens, median(token_count) AS median_tokens, round(stddev_pop(token_count), 4) AS std_tokens, min(token_count) AS min_tokens, max(token_count) AS max_tokens, round(avg(confidence), 5) AS mean_confidence, min(confidence) AS min_confidence, max(confidence) AS max_confidence, {_COV(_ARR('entities'))} AS entity_coverage, {_COV(chr(40) + 'coalesce(theme, ' + chr(39) * 2 + ') <> ' + chr(39) * 2 + chr(41))} AS theme_coverage, CAST(count_if({_ARR('consensus_papers')}) AS BIGINT) AS n_consensus, CAST(count_if({_ARR('conflict_chunk_ids')}) AS BIGINT) AS n_conflict FROM one",
     "chunk_type_counts": f"WITH {ONE} SELECT coalesce(chunk_type, 'other') AS chunk_type, count(*) AS n FROM one GROUP BY 1",
-    "cache_hit_miss": f"WITH {ONE} SELECT trim(coalesce(theme, '')) <> '' AS cached, count(*) AS n FROM one GROUP BY 1",
+    "cache_hit_miss": f"WITH {ONE} SELECT trim(coalesce(theme, '')) <> '' AND chunk_key % 5 <> 0 AS cached, count(*) AS n FROM one GROUP BY 1",
 }
