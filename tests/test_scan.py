@@ -41,7 +41,7 @@ def test_best_neighbours_equal_the_edges(spark):
     assert rows(scan.neighbours(graph.nodes(c), sources, 6, graph.CROSS_ENTITY, graph.WITHIN_ENTITY)) == known
 
 
-@pytest.mark.parametrize("name", ["retrieve_hybrid", "ablation_gains", "ablation_grid", "redundancy", "dedup_greedy", "rrf_fusion", "rescored", "compress_context", "bm25_topk", "eval_means", "eval_at_k", "eval_mrr", "eval_cross_paper"])
+@pytest.mark.parametrize("name", ["retrieve_hybrid", "ablation_gains", "ablation_grid", "redundancy", "dedup_greedy", "rrf_fusion", "rescored", "compress_context", "bm25_topk", "eval_means", "eval_at_k", "eval_mrr", "eval_cross_paper", "dynamic_cutoff"])
 def test_no_index_is_made_for_one_batch(spark, monkeypatch, name):
     """Sorting all postings, and all edges of the walk, cost more than the whole answer."""
 
