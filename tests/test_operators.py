@@ -1,6 +1,7 @@
 """Operators on hand-made inputs with results worked out by hand."""
 
 import math
+import random
 import re
 
 import numpy as np
@@ -354,3 +355,19 @@ def test_clustered_vectors_need_few_lists(spark):
     assert search.recall(search.ann(index, q, 5), search.knn(df, q.where("vector IS NOT NULL"), 5)).first()["recall"] >= 0.9
     empty = df.where("key < 0")
     assert rows(search.ann(search.vector_index(empty), q.where("vector IS NOT NULL"), 5)) == [] and rows(search.ann(index, empty.withColumnRenamed("key", "query"), 5)) == []
+
+
+def test_compression_without_broadcast_joins(spark):
+    """Groups above a union of two shuffles had twice the tasks of what they were joined with."""
+    r = random.Random(4)
+    words = "zinc copper cells wound gate pore iron flux".split()
+    text = lambda: " ".join(f"Then {' '.join(r.choice(words) for _ in range(11))}." for _ in range(40))
+    results = spark.createDataFrame([(q, k + 1, 10 * q + k) for q in range(12) for k in range(3)], "query long, rank int, key long")
+    c = spark.createDataFrame([(k, text()) for k in range(130)], "chunk_key long, text string")
+    q = spark.createDataFrame([(i, " ".join(r.sample(words, 3))) for i in range(12)], "query long, text string")
+    known = rows(pipeline.compress(results, c, q))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert known and rows(pipeline.compress(results, c, q)) == known
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
