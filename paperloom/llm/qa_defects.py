@@ -6,7 +6,7 @@ of a question and its answer; they differ when the answer is in another language
 Truncation: over all answers, how often each n-gram of masked tokens ends a text it occurs
 in, backing off to its last token; an answer whose end hardly ever ends a text is cut
 off. Refusals: a naive Bayes model of word n-grams decides sentence by sentence; phrases
-only label the answers of a bounded sample that it is trained on. Copies: the tokens an
+only label the answers, all of them, that it is trained on. Copies: the tokens an
 answer adds to its question. All is counted and scored in numpy, a batch at a time; the
 counts cover the whole table, and their tables have a fixed size, whatever its length.
 """
@@ -61,8 +61,6 @@ _REFUSALS = r"""\bi(?:'m| am) (?:sorry|afraid|unable|not able|not in a position)
     \bno puedo\b|\blo siento\b|\bno basta para|\bno dicen nada|\bno es posible responder|\bno (?:hay|contiene) (?:suficiente )?información|\bnon posso\b|\bmi dispiace\b|\bnão posso\b|\bdesculpe\b|\bне могу\b|\bк сожалению\b"""
 #: A line of phrases is a family.
 FAMILIES = [re.compile(line.strip().removesuffix("|"), re.I) for line in _REFUSALS.split("\n")]
-#: Answers of the sample that phrases label, at most about so many, by a hash of the pair.
-LABELLED_ANSWERS = 60_000
 _OUTSIDE = " \t\n\r\x0b\x0c.,;:!?()[]\u201c\u201d\"\u00ab\u00bb"
 _FINAL = [ord(c) for c in ".!?。！？؟।"]
 _CLOSERS = "\"'”’»)]}*_` \t\n\r "
@@ -273,8 +271,8 @@ def _stripped(answers: list[str | None]) -> list[str]:
 
 
 def _counts(pairs: DataFrame, labels=refusal_label) -> dict[str, np.ndarray]:
-    """All models' counts, over all distinct pairs (question, answer, sampled); refusals over
-    the sampled answers, which ``labels`` tells apart (-1 for none). Arrays of fixed size, summed in a tree."""
+    """All models' counts, over all distinct pairs (question, answer); refusals over the answers
+    that ``labels`` tells apart (-1 for none). Arrays of fixed size, summed in a tree."""
     sizes = {"language": len(LATIN) * NGRAM_BUCKETS, "end": 6 * END_BUCKETS, "refusal": 2 * REFUSAL_BUCKETS}
     bounds = np.cumsum([0, *sizes.values()])
 
@@ -282,7 +280,7 @@ def _counts(pairs: DataFrame, labels=refusal_label) -> dict[str, np.ndarray]:
         total = np.zeros(bounds[-1], np.int32)
         language, end, refusal = (total[a:b] for a, b in zip(bounds[:-1], bounds[1:]))
         for batch in batches:
-            questions, answers, sampled = (c.to_pylist() for c in batch.columns)
+            questions, answers = (c.to_pylist() for c in batch.columns)
             texts = [q or "" for q in questions] + [a or "" for a in answers]
             for a, b in V.slices(texts):
                 t = Tokens(texts[a:b])
@@ -297,11 +295,8 @@ def _counts(pairs: DataFrame, labels=refusal_label) -> dict[str, np.ndarray]:
                 within = lambda x, owner: np.unique(owner * END_BUCKETS + x) % END_BUCKETS
                 for i, at in enumerate((within(one, owner), within(two, owner), one[last], two[last], chars, chars[stop == t.offsets[doc + 1] - 1])):
                     end[i * END_BUCKETS : (i + 1) * END_BUCKETS] += np.bincount(at, minlength=END_BUCKETS).astype(np.int32)
-            chosen = [x for x, s in zip(answers, sampled) if s and x]
-            for a, b in V.slices(chosen):
-                part = chosen[a:b]
-                kind = np.array([labels(x) for x in part], np.int64)
-                sentence, bucket, text, _ = Tokens(part).refusal_features()
+                kind = np.array([labels(x) for x in answers[a:b]], np.int64)
+                sentence, bucket, text, _ = t.refusal_features()
                 owner = kind[text[sentence]]
                 refusal += np.bincount(owner[owner >= 0] * REFUSAL_BUCKETS + bucket[owner >= 0], minlength=len(refusal)).astype(np.int32)
         yield packed(total, 4)
@@ -450,12 +445,6 @@ def classify(pairs: list[tuple[str | None, str | None]], models: Models) -> list
     return out
 
 
-def _sampled(pairs: DataFrame) -> DataFrame:
-    """pairs with ``sampled``, whether phrases label the pair: about LABELLED_ANSWERS of them."""
-    share = min(1.0, LABELLED_ANSWERS / max(1, pairs.count()))
-    return pairs.withColumn("sampled", F.pmod(F.xxhash64("question_id"), F.lit(1 << 52)) < F.lit(int(np.ceil(share * (1 << 52)))))
-
-
 def _pairs(questions: DataFrame) -> DataFrame:
     return questions.where("question_id IS NOT NULL").select(F.col("question_id").cast("long").alias("question_id"), "question", "answer").distinct()
 
@@ -469,7 +458,7 @@ def defects(questions: DataFrame) -> DataFrame:
     once; null ids are dropped. An empty table gives no rows, other columns don't matter.
     """
     pairs = materialize(_pairs(questions), "p2-pairs")
-    counts = _counts(_sampled(pairs).select("question", "answer", "sampled"))
+    counts = _counts(pairs.select("question", "answer"))
     models = questions.sparkSession.sparkContext.broadcast(counts)
     loaded: dict[str, Models] = {}
 
@@ -486,15 +475,14 @@ def defects(questions: DataFrame) -> DataFrame:
 
 
 def refusal_validation(questions: DataFrame) -> DataFrame:
-    """(setting, n, found, precision, recall) of the refusal model over the labelled sample's
-    answers, empty ones left out.
+    """(setting, n, found, precision, recall) of the refusal model over all answers but
+    empty ones.
 
     'all phrases': the model as it is, against the labels it was trained on. 'unseen
     phrases': trained on the labels of every other family, recall over the answers that
     only the other families mark, none of which it was trained on; precision against all.
     """
-    pairs = _sampled(_pairs(questions)).where("sampled AND trim(answer) <> ''").select("question", "answer", "sampled")
-    pairs = materialize(pairs, "p2-sample")
+    pairs = materialize(_pairs(questions).where("trim(answer) <> ''").select("question", "answer"), "p2-answers")
     rows = None
     for setting, labels in (("all phrases", refusal_label), ("unseen phrases", partial_label)):
         model = questions.sparkSession.sparkContext.broadcast(_counts(pairs, labels))
@@ -511,8 +499,8 @@ def refusal_validation(questions: DataFrame) -> DataFrame:
             F.lit(setting).alias("setting"),
             F.coalesce(F.sum("judged"), F.lit(0)).alias("n"),
             F.coalesce(F.sum(F.col("judged") * F.col("found")), F.lit(0)).alias("found"),
-            (F.sum(F.col("found") * F.col("marked")) / F.sum("found")).alias("precision"),
-            (F.sum(F.col("judged") * F.col("found")) / F.sum("judged")).alias("recall"),
+            F.try_divide(F.sum(F.col("found") * F.col("marked")), F.sum("found")).alias("precision"),
+            F.try_divide(F.sum(F.col("judged") * F.col("found")), F.sum("judged")).alias("recall"),
         )
         rows = part if rows is None else rows.unionByName(part)
     return rows

@@ -56,6 +56,12 @@ def test_long_answers_are_read_whole(spark):
     assert rows(Q.defects(df)) == [(2, "truncated")]
 
 
+def test_refusals_are_counted_over_all_answers(spark):
+    df = spark.range(70_000).selectExpr("id AS question_id", "'Why?' AS question", "CASE WHEN id % 10 = 0 THEN 'I cannot answer this.' ELSE 'Cells grow.' END AS answer")
+    got = {r["setting"]: r for r in Q.refusal_validation(df).collect()}["all phrases"]
+    assert (got["n"], got["found"], got["precision"], got["recall"]) == (7_000, 7_000, 1.0, 1.0)
+
+
 CLEAN = ["The loss of XAB{n} raised growth in the liver.", "An error rate of {n} was tolerated; service intervals were not altered.", "We ran the script with ${{PATH}} unset.", "Of the {n} donors contacted, 17 were not found at follow-up.", "The set {{XAB{n}, QRS7}} was excluded.", "Template DNA was filled in with polymerase.", "Levels of QRS{n} rose in mice [{n}].", "The variable __name__ and the pattern %d appear in the code."]
 DIRTY = {
     "placeholder": ["Cite as: {{{{ author list }}}}.", "The lower panel shows [insert figure id].", "Correspondence about <enter doi here> should be sent.", "We thank ${{author}} for reagents."],
