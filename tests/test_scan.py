@@ -2,10 +2,13 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from paperloom.functions.spans import term_hashes
 from paperloom.operators import graph, scan, search
 from paperloom.plans import registry
 from tests.conftest import rows
@@ -31,6 +34,32 @@ def test_scan_equals_the_index(spark, monkeypatch, kind):
     assert rows(scan.find(counted, asked, 7).select("query", "key", "rank", F.round("score", 7))) == known
 
 
+def test_terms_are_those_of_the_index(spark):
+    texts = ["", " ", None, "a b  c\tÄbc d e", "The naïve 東京 cell_1 ½ 😀x y2 of", "x\u00a0y\u2003zz\x0bq\x1cr", "ΟΔΟΣ ΟΔΟΣ", "zinc—zinc ᾀβγ Ⅷ2 a1", "end"]
+    df = spark.createDataFrame(list(enumerate(texts)), "key long, text string").coalesce(1)
+    for words, terms in ((False, search.blank_terms), (True, search.word_terms)):
+        known = [r[0] for r in df.orderBy("key").select(terms(F.col("text"))).collect()]
+        low = pa.array([r[0] for r in df.orderBy("key").select(scan._lowered(F.col("text"))).collect()])
+        got, lengths = term_hashes(low, words, tuple(search.STOP_WORDS) if words else ())
+        assert lengths.tolist() == [len(k) for k in known]
+        flat = [t for k in known for t in k]
+        assert len(set(zip(flat, got.tolist()))) == len(set(flat)) == len(set(got.tolist()))
+        part = low.slice(3, 4)
+        assert term_hashes(part, words)[0].tolist() == term_hashes(pa.array(part.to_pylist()), words)[0].tolist()
+
+
+def test_a_query_has_a_bound_within_its_first_block():
+    r = np.random.default_rng(2)
+    n, k = 2_000, 5
+    asked = scan.Asked(np.array([1]), np.arange(3), [np.arange(3)], [np.array([9.0, 5.0, 0.1])])
+    doc, term = np.r_[r.permutation(n)[:60], r.permutation(n)[:300], np.arange(n)], np.repeat([0, 1, 2], [60, 300, n])
+    weights = r.random(len(doc)) + 0.5
+    sums = np.zeros(n)
+    np.add.at(sums, doc, asked.weights[0][term] * weights)
+    near, got = scan.Postings(asked, n, doc, term, weights).candidates(asked.places[0], asked.weights[0], -np.inf, True, k)
+    assert set(np.argsort(-sums)[:k]) <= set(near) and len(near) < 100 and np.allclose(got, sums[near])
+
+
 def test_best_neighbours_equal_the_edges(spark):
     r = random.Random(3)
     c = spark.createDataFrame([(i, r.choice("PQ"), r.sample(["AAA", "BBB", "CCC", "DDD", "EEE"], r.randint(0, 4)), None) for i in range(80)], "chunk_key long, paper_title string, entities array<string>, theme string")
