@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from paperloom.functions.spans import term_hashes
 from paperloom.operators import graph, scan, search
 from paperloom.plans import registry
+from paperloom.plans import search as plans
 from tests.conftest import rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -80,3 +81,13 @@ def test_no_index_is_made_for_one_batch(spark, monkeypatch, name):
     monkeypatch.setattr(search, "make_index", fail)
     monkeypatch.setattr(graph, "entity_edges", fail)
     assert registry.queries()[name](spark, FOLDER).count() > 0
+
+
+@pytest.mark.parametrize("name", ["eval_at_k", "eval_mrr", "eval_means", "eval_cross_paper"])
+def test_metrics_make_chunks_ready_once_and_no_rows_in_python(spark, monkeypatch, name):
+    made = []
+    once = plans.chunks_once
+    monkeypatch.setattr(plans, "chunks_once", lambda *a: made.append(a) or once(*a))
+    monkeypatch.setattr(plans, "_made", {})
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(a))
+    assert registry.queries()[name](spark, FOLDER).count() > 0 and len(made) == 1
