@@ -157,3 +157,28 @@ def test_training_learns_and_is_repeatable():
     w = R.train(data)
     assert np.mean([np.argmax(w[f].sum(0) + R.BIAS) == y for y, f in data]) > 0.99 and (w == R.train(data)).all()
     assert not w[7].any() and not R.train([(0, np.array([1, 2]))]).any() and not R.train([]).any()
+
+
+def test_training_sees_every_document(spark):
+    word = "concat('w', translate(cast(id AS string), '0123456789', 'abcdefghij'))"
+    text = f"CASE WHEN id % 1500 = 7 THEN concat('Lorem ipsum ', {word}, ' dolor.') ELSE 'Cells grow.' END"
+    df = spark.range(60_000).selectExpr("id AS doc_id", f"{text} AS text", "concat('host', id % 23) AS source")
+    w, _ = R.fit(df)
+    held_out = {r["source"] for r in df.select("source").distinct().where(R.F.crc32(R.F.encode("source", "utf-8")) % R.UNSEEN == 0).collect()}
+    own = [r["text"].split()[2] for r in df.where("doc_id % 1500 = 7").collect() if r["source"] not in held_out]
+    s = R.Segments(own, [None] * len(own))
+    assert len(own) > 20 and w[s.grams[:, 0]].any(1).all()
+
+
+def test_thresholds_count_all_windows_of_unseen_hosts(spark):
+    df = spark.range(30_000).selectExpr("id AS doc_id", "CASE WHEN id % 100 = 0 THEN 'Lorem ipsum dolor.' ELSE 'Cells grow. Mice do.' END AS text")
+    judged = R._judged(R._rows(df), np.zeros((R.BUCKETS, len(R.KINDS)), np.float32))
+    assert judged.sum((0, 2, 3)).tolist() == [2 * 29_700, 0, 300, 0, 0]
+
+
+def test_shards_give_the_same_whatever_the_partitions(documents, monkeypatch):
+    monkeypatch.setattr(R, "SHARD", 100_000)
+    df, want = documents
+    (w1, t1), (w2, t2) = R.fit(df.repartition(1)), R.fit(df.repartition(16))
+    assert t1 == t2 and (w1 == w2).all()
+    assert {r["doc_id"]: r["residue"] for r in R.residue(df, (w1, t1)).collect()} == want
