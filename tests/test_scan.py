@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.spans import term_hashes
 from paperloom.operators import graph, scan, search
-from paperloom.plans import registry
+from paperloom.plans import registry, text_scoring
 from paperloom.plans import search as plans
 from tests.conftest import rows
 
@@ -91,3 +91,20 @@ def test_metrics_make_chunks_ready_once_and_no_rows_in_python(spark, monkeypatch
     monkeypatch.setattr(plans, "_made", {})
     monkeypatch.setattr(type(spark), "createDataFrame", lambda *a, **k: made.append(a))
     assert registry.queries()[name](spark, FOLDER).count() > 0 and len(made) == 1
+
+
+def test_terms_are_lowered_as_the_index_does(spark):
+    texts = ["ÄBC Zinc", "İstanbul \u212aelvin", "ΟΔΟΣ", "Σα ΣΑΣ", "ΣΑΣ", "ABC", "", "ǅ Ⅷ2 ẞa"]
+    for part in (texts, texts[2:5], texts[:1] + texts[5:], texts[5:7]):
+        df = spark.createDataFrame(list(enumerate(part)), "key long, text string").coalesce(1)
+        low = pa.array([r[0] for r in df.orderBy("key").select(F.lower("text")).collect()])
+        for words in (False, True):
+            assert [x.tolist() for x in term_hashes(pa.array(part), words)] == [x.tolist() for x in term_hashes(low, words)]
+
+
+def test_repeated_chunks_are_found_in_one_pass(spark, monkeypatch, tmp_path):
+    spark.createDataFrame([(i % 50, f"t{i % 50}") for i in range(60)] + [(None, "x")], "chunk_key long, text string").repartition(4).write.parquet(f"{tmp_path}/chunks.parquet")
+    made = []
+    monkeypatch.setattr(text_scoring, "materialize", lambda df, name: made.append(name) or df)
+    c = text_scoring.chunks_once(spark, str(tmp_path), "text")
+    assert sorted(rows(c)) == [(i, f"t{i}") for i in range(50)] and len(made) == 1
