@@ -19,3 +19,7 @@ def _whole(spark, monkeypatch, query):
 
 def test_retrieve_hybrid_answers_all_questions(spark, monkeypatch):
     _whole(spark, monkeypatch, search.retrieve_hybrid)
+
+
+def test_dedup_greedy_answers_all_questions(spark, monkeypatch):
+    _whole(spark, monkeypatch, search.dedup_greedy)
