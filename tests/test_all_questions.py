@@ -23,3 +23,7 @@ def test_retrieve_hybrid_answers_all_questions(spark, monkeypatch):
 
 def test_dedup_greedy_answers_all_questions(spark, monkeypatch):
     _whole(spark, monkeypatch, search.dedup_greedy)
+
+
+def test_compress_context_answers_all_questions(spark, monkeypatch):
+    _whole(spark, monkeypatch, search.compress_context)
