@@ -1,5 +1,9 @@
 """The queries of the whole path answer every question of their table."""
 
+from pyspark.sql import functions as F
+
+from paperloom.operators import evaluation as E
+from paperloom.operators import pipeline as L
 from paperloom.plans import search
 from tests.compare import connect
 from tests.conftest import rows
@@ -27,3 +31,22 @@ def test_dedup_greedy_answers_all_questions(spark, monkeypatch):
 
 def test_compress_context_answers_all_questions(spark, monkeypatch):
     _whole(spark, monkeypatch, search.compress_context)
+
+
+def _means(spark, row):
+    """The metrics (k, recall, ndcg) of one configuration, over all questions of the table."""
+    _, weights, graph, reranked = row
+    q = spark.read.parquet(f"{FOLDER}/eval_questions.parquet").dropDuplicates(["question_id"]).selectExpr("question_id AS query", "question AS text", "relevant_chunk_ids")
+    c = search.chunks_once(spark, FOLDER)
+    found = L.retrieved(c, q, search.channels(spark, FOLDER, q, c), weights, graph, reranked)
+    results = found.join(c.select(F.col("chunk_key").alias("key"), F.col("chunk_id").alias("id")), "key").select("query", "id", "rank")
+    at = E.at_k(results, E.relevant(q, "relevant_chunk_ids", "id"), q, (1, 5))
+    return {r[0]: r[1:] for r in at.groupBy("k").agg(F.avg("recall"), F.avg("ndcg")).collect()}
+
+
+def test_ablation_grid_is_over_all_questions(spark):
+    known, got = _means(spark, search.ABLATION[2]), search.ablation_grid(spark, FOLDER).collect()
+    assert len(got) == 10
+    for r in got:
+        if r["config"] == "dense_bm25":
+            assert abs(r["recall"] - known[r["k"]][0]) < 1e-6 and abs(r["ndcg"] - known[r["k"]][1]) < 1e-6
