@@ -50,3 +50,11 @@ def test_ablation_grid_is_over_all_questions(spark):
     for r in got:
         if r["config"] == "dense_bm25":
             assert abs(r["recall"] - known[r["k"]][0]) < 1e-6 and abs(r["ndcg"] - known[r["k"]][1]) < 1e-6
+
+
+def test_ablation_gains_are_over_all_questions(spark):
+    low, high = _means(spark, search.ABLATION[0]), _means(spark, search.ABLATION[4])
+    got = {r["k"]: r for r in search.ablation_gains(spark, FOLDER).where("config = 'full'").collect()}
+    assert set(got) == {1, 5}
+    for k, r in got.items():
+        assert abs(r["recall_gain"] - (high[k][0] - low[k][0])) < 3e-6 and abs(r["ndcg_gain"] - (high[k][1] - low[k][1])) < 3e-6
